@@ -47,6 +47,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
+def scratch_table(df: DataFrame, kind: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
