@@ -112,8 +112,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' UTF-8 bytes, one after the other, in lower case (ASCII and Latin-1), and where each begins; a null is empty."""
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes, one after the other, and where each begins; a null is empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     if pa.types.is_large_string(texts.type):
         off = np.frombuffer(texts.buffers()[1], np.int64)
@@ -124,12 +124,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         off = np.zeros(1, np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data, off - off[0]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """raw_bytes in lower case (ASCII and Latin-1)."""
+    data, off = raw_bytes(texts)
     data = _LOWER[data]
     if len(data) > 1:
         lead = np.flatnonzero(data[:-1] == 0xC3) + 1
         lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
         data[lead] += 32
-    return data, off - off[0]
+    return data, off
 
 
 def token_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

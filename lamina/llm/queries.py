@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, kneser_ney, packing, quality, simhash
+from . import decontaminate, exact_dedup, kneser_ney, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_decontamination, op8_packing, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_decontamination, op8_packing, op9_toxicity, op10_lm_score)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
