@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, kneser_ney, packing, quality, secret_scan, simhash, toxicity, url_rules
+from . import decontaminate, exact_dedup, html_extract, kneser_ney, packing, quality, secret_scan, simhash, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.blocked(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_decontamination, op5_secrets, op6_url_rules, op8_packing, op9_toxicity, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_decontamination, op5_secrets, op6_url_rules, op7_html, op8_packing, op9_toxicity, op10_lm_score)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
