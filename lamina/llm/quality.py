@@ -21,6 +21,8 @@ MAX_LABELLED = 50_000
 #: The part of the good labelled documents that the threshold must keep.
 KEEP_RECALL = 0.995
 N_FEATURES = 12
+#: Texts that are measured at once, which bounds a worker's memory.
+SLICE = 500
 
 _CLASS = np.zeros((256, 7), bool)
 _CLASS[:, 0] = [48 <= b <= 57 for b in range(256)]
@@ -99,7 +101,7 @@ def measured(docs: DataFrame) -> DataFrame:
     cols = docs.where("doc_id is not null and text is not null").select("doc_id", host.alias("host"), path.alias("path"), "text")
 
     def over(batch):
-        x = layout(batch.column(3))
+        x = np.concatenate([layout(batch.column(3).slice(k, SLICE)) for k in range(0, batch.num_rows, SLICE)])
         flat = pa.array(x.ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), flat)
         return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "host", "path", "x"])
