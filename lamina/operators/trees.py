@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import leb_hex, object_hash
+from ..shared import checkpointed
 
 
 def parent(path: Column) -> Column:
@@ -57,7 +58,8 @@ def build(leaves: DataFrame, directories: DataFrame | None = None, known: DataFr
         paths = paths.distinct().join(known.select("path"), "path", "left_anti")
     else:
         paths = paths.distinct()
-    paths = paths.persist()
+    paths = checkpointed(paths)
+    level = checkpointed(level)
     depth = paths.agg(F.max(F.size("path")).alias("n")).first().n
     done: list[DataFrame] = []
     for n in range(depth, -1, -1):
@@ -67,7 +69,7 @@ def build(leaves: DataFrame, directories: DataFrame | None = None, known: DataFr
             children = children.unionByName(done[-1].select("path", F.lit("02").alias("kind"), "hash"))
         rows = children.select(parent(F.col("path")).alias("path"), F.element_at("path", -1).alias("name"), "kind", "hash")
         rows = here.join(rows, "path", "left").select("path", "name", "kind", "hash")
-        built = directory_hashes(rows, ["path"], algorithm).persist()
+        built = checkpointed(directory_hashes(rows, ["path"], algorithm))
         done.append(built)
     out = done[0]
     for d in done[1:]:

@@ -12,6 +12,7 @@ from ..functions.hashing import blake3_hex, blob_hash, envelope_hex, leb_hex, ob
 from ..operators import history
 from ..operators.trees import build, directory_hashes, joined_entries
 from ..repo import fsck, reachable, walk
+from ..shared import checkpointed
 from ..sources.frames import encode_frames, read_frames
 from ..sources.tables import cluster_scan, collection
 from . import sql
@@ -79,13 +80,13 @@ def document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(objects, tree entries, root) of the documents as one snapshot."""
-    leaves = document_leaves(spark, sf_dir).persist()
-    trees = build(leaves.select("path", "hash")).persist()
+    leaves = checkpointed(document_leaves(spark, sf_dir))
+    trees = build(leaves.select("path", "hash"))
     objects = leaves.select("hash", F.lit("blob").alias("type"), "size").unionByName(trees.select("hash", F.lit("tree").alias("type"), F.expr("length(payload_hex) div 2").alias("size"))).distinct()
     up = trees.select(F.col("path").alias("above"), F.col("hash").alias("tree_hash"))
     child = leaves.select("path", F.lit("blob").alias("type"), "hash").unionByName(trees.where(F.size("path") > 0).select("path", F.lit("tree").alias("type"), "hash"))
     entries = child.withColumn("above", F.slice("path", 1, F.size("path") - 1)).join(up, "above").select("tree_hash", F.element_at("path", -1).alias("name"), "type", F.col("hash").alias("child_hash")).distinct()
-    return objects, entries, trees.where(F.size("path") == 0).select("hash")
+    return checkpointed(objects), checkpointed(entries), trees.where(F.size("path") == 0).select("hash")
 
 
 def shown(path: str = "path"):
@@ -436,7 +437,7 @@ def txn_batches(spark, sf_dir):
     return r.select("shard", "run_id", "n", "first_event", "token", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("nanos"))
 
 
-@query("SELECT event_id, epoch(ts)::BIGINT * 1000000000 + event_id % 1000 AS nanos FROM events")
+@query("SELECT event_id, (epoch_us(ts) // 1000000) * 1000000000 + event_id % 1000 AS nanos FROM events")
 def cluster_time_nanos(spark, sf_dir):
     t = F.unix_seconds(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", history.cluster_nanos(t, F.col("event_id") % 1000).alias("nanos"))
