@@ -255,6 +255,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
     suspect = np.concatenate([[0.0], np.cumsum(np.where(held[np.repeat(np.arange(len(y)), np.diff(words.at))], 0, _suspects(words, np.where(held, 0, y))[words.codes]))])
     score = suspect[first + length] - suspect[first]
     balance = np.where(y > 0, (1 - y[~held].mean()) / y[~held].mean(), 1.0) ** 0.5
+    size = 128 if len(y) >= 1500 else 32  # few documents would make few steps
     for epoch in range(epochs):
         worst = _worst(score, text, len(y))
         chosen = [worst[(worst >= 0) & ~held]]
@@ -265,8 +266,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
         adam.rate = 0.01 * (1 - 0.7 * epoch / epochs)
         for n in np.unique(length[some]):
             own = some[length[some] == n]
-            for k in range(0, len(own), 128):
-                b = own[k : k + 128]
+            for k in range(0, len(own), size):
+                b = own[k : k + size]
                 adam.step(net.gradient(words, first[b], int(n), y[text[b]], balance[text[b]] / len(b) * min(1, len(b) / 16)))
         if epoch >= 3:
             score = net.score(words)[0]
