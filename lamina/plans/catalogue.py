@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from ..functions.canonical import canonical, long_id, row_document
 from ..functions.hashing import blake3_hex, blob_hash, envelope_hex, leb_hex, object_hash, zstd
 from ..operators import history
 from ..operators.trees import build, directory_hashes, joined_entries
-from ..repo import fsck, reachable, walk
-from ..shared import checkpointed
+from ..repo import Repo, fsck, reachable, walk
+from ..shared import checkpointed, scratch_path, shared_dir
 from ..sources.frames import encode_frames, read_frames
 from ..sources.tables import cluster_scan, collection
+from ..streaming.changes import carried_runs, watch
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,12 +474,13 @@ def canonical_json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", canonical(F.col("props")).alias("props"))
 
 
-@query(f"WITH {sql.HISTORY} SELECT seq, array_to_string(path, '/') AS path, CASE WHEN NOT dead THEN payload END AS payload FROM ev WHERE day <= 3")
+@query(f"WITH {sql.HISTORY} SELECT seq, array_to_string(path, '/') AS path, CASE WHEN NOT dead THEN payload END AS payload FROM ev")
 def pipe_frames(spark, sf_dir):
-    """Three days of events written as frames, one file a day, and read back."""
-    e = raw_events(spark, sf_dir).where("day <= 3").withColumnRenamed("seq", "ord")
+    """All events written as frames, one file a day, and read back."""
+    e = raw_events(spark, sf_dir).withColumnRenamed("seq", "ord")
     rows = read_frames(encode_frames(e, "day")).where("status = 'OK'")
-    return rows.select(F.get_json_object(F.decode("message", "utf-8"), "$.seqs").alias("s"), "ord", shown(), F.decode("payload", "utf-8").alias("payload")).select(F.get(F.split("s", ","), F.col("ord").cast("int")).cast("long").alias("seq"), "path", "payload")
+    seqs = rows.where("ord = 0").select("file", F.posexplode(F.split(F.get_json_object(F.decode("message", "utf-8"), "$.seqs"), ",")).alias("ord", "seq"))
+    return rows.join(seqs, ["file", "ord"]).select(F.col("seq").cast("long").alias("seq"), shown(), F.decode("payload", "utf-8").alias("payload"))
 
 
 @query()
@@ -485,3 +488,40 @@ def object_statistics(spark, sf_dir):
     """Versions, collections and sizes of the history, by rollup; the reference inventory is its base."""
     v = versions(spark, sf_dir)
     return v.rollup(F.element_at("path", 2).alias("coll"), "valid_from").agg(F.count("*").alias("n_versions"), F.approx_count_distinct("hash").alias("n_blobs"))
+
+
+# streams
+
+
+def _streamed(spark, sf_dir):
+    """The events table as a stream: one file, so one micro-batch; the operators don't rely on that."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
+@query(f"{_RUNS} SELECT event_id, shard, run_id FROM r")
+def stateful_runs(spark, sf_dir):
+    """Runs over a stream, with the open run of each shard as state."""
+    name = f"runs_{uuid.uuid4().hex}"
+    keyed = _streamed(spark, sf_dir).select("event_id", (F.col("user_id") % 4).alias("shard"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("key"))
+    out = f"{shared_dir(spark)}/{name}"
+    q = carried_runs(keyed).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(f"WITH {sql.HISTORY}, t AS (SELECT path, (day - 1) // 10 AS seq, first(hash ORDER BY ev.seq DESC) AS hash FROM hashed ev GROUP BY path, (day - 1) // 10), c AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY seq) AS before FROM t) SELECT seq, count(*) AS n FROM c WHERE hash IS DISTINCT FROM before GROUP BY seq")
+def stream_commit(spark, sf_dir):
+    """The stream of events committed to a new repository; ten days are one transaction. Returns the changes of each commit."""
+    at = scratch_path(spark, "repository")
+    Repo.init(spark, at)
+    e = _streamed(spark, sf_dir)
+    payload = row_document({"_id": long_id(F.col("user_id")), "props": F.replace(F.col("props"), F.lit(" "), F.lit("")), "type": F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))})
+    path = F.array(F.lit("app"), F.concat(F.lit("g"), F.col("user_id") % 5), F.col("user_id").cast("string"))
+    rows = e.select(
+        F.col("event_id").alias("seq"), F.lit("data").alias("class"), path.alias("path"), F.when(F.col("event_type") != "error", payload).alias("payload"),
+        F.floor((F.dayofmonth("ts") - 1) / 10).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("nanos"), F.col("event_id").cast("string").alias("token"),
+    )
+    with Repo(spark, at, writable=True) as repo:
+        watch(repo, rows, f"{at}/stream").awaitTermination()
+    return history.changed_per_commit(Repo(spark, at).table("leaf_changes")).groupBy("seq").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once; plans that use it don't contain its own, and a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new mounted path in the shared folder."""
+    base = shared_dir(spark)
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    elif "://" in base:
+        raise ValueError(f"this needs a mounted folder, not {base}")
+    return f"{base}/{kind}-{uuid.uuid4().hex}"
