@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a side is broadcast; beyond it the plan shuffles instead.
 BROADCAST_BYTES = 32 << 20
+TEXTS_PER_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +83,14 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids[gone], "left_anti")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now passes TEXTS_PER_BATCH rows at a time to Python unless it was set otherwise: ten thousand long texts take hundreds of MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return df
+
+
 def in_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """mapInArrow's function of one that maps a batch."""
 

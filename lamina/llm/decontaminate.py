@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, without_ids
+from .common import BROADCAST_BYTES, checkpointed, small_batches, without_ids
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
@@ -135,7 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, bro
     they are matched by several automata, one after the other.
     """
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    cols = docs.where("text is not null").select("doc_id", "text")
+    cols = small_batches(docs).where("text is not null").select("doc_id", "text")
     items = benchmark.where("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     groups = max(1, -(-int(size) * 16 // broadcast_bytes))

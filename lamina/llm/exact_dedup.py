@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions
+from .common import fresh, partitions, small_batches
 
 #: Sampled texts for each partition of the sort.
 SAMPLES_PER_PARTITION = 20
@@ -53,7 +53,7 @@ def slot(key: Column, cuts: list[str]) -> Column:
 
 def sorted_by_content(docs: DataFrame, key: str) -> DataFrame:
     """docs range-partitioned by key and sorted by it, then by doc_id with nulls last."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     n = partitions(spark)
     rows = docs.count()
     want = n * SAMPLES_PER_PARTITION

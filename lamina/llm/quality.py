@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, text_bytes, without_ids
+from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, small_batches, text_bytes, without_ids
 
 #: Labelled documents that the classifier is fitted on, at most; everything else sees all documents.
 MAX_LABELLED = 50_000
@@ -132,7 +132,7 @@ def scored(docs: DataFrame, labels: DataFrame, recall: float = KEEP_RECALL, max_
     another and the threshold keeps all.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = checkpointed(measured(docs))
+    rows = checkpointed(measured(small_batches(docs)))
     taught = rows.join(known, "doc_id").select("doc_id", "x", "quality")
     some = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
     x = np.array([*some["x"]]).reshape(len(some), N_FEATURES)

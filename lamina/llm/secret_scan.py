@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import raw_bytes
+from .common import raw_bytes, small_batches
 
 BODY, SIDE = 64, 32
 WIDTH = BODY + 2 * SIDE
@@ -278,4 +278,4 @@ def scan(docs: DataFrame, n_findings: int = FINDINGS, recall: float = RECALL) ->
                     digest = [hashlib.sha256(data[x:y].tobytes()).hexdigest() for x, y in zip(a[hit], b[hit])]
                     yield pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(begin, pa.int64()), pa.array((b - a)[hit]), pa.array(digest), pa.array(sure[hit])], ["doc_id", "begin", "n_chars", "digest", "probability"])
 
-    return docs.where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, begin bigint, n_chars bigint, digest string, probability double")
+    return small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, begin bigint, n_chars bigint, digest string, probability double")

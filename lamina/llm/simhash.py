@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, mix, partitions, without_ids
+from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, mix, partitions, small_batches, without_ids
 
 BITS = 128
 RADIUS = 17
@@ -293,7 +293,7 @@ def grouped(docs: DataFrame, radius: int = RADIUS, broadcast_bytes: int = BROADC
     Groups are connected: a near copy of a near copy belongs. Equal texts
     have equal fingerprints; texts without words are near only to equal ones.
     """
-    cols = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    cols = small_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
 
     def over(batch):
         fps = fingerprints(batch.column(1))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hashes, text_bytes, token_spans
+from .common import small_batches, span_hashes, text_bytes, token_spans
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 14, 1 << 13
@@ -325,4 +325,4 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     w = worst[bad]
                     yield pa.record_batch([some.column(0).take(pa.array(bad)), pa.array(score[w].astype(float)), pa.array(windows[bad]), pa.array(start[w])], ["doc_id", "score", "n_windows", "worst_word"])
 
-    return docs.where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, score double, n_windows bigint, worst_word bigint")
+    return small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, score double, n_windows bigint, worst_word bigint")
