@@ -55,6 +55,12 @@ def scratch_table(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_share(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About most of the rows, chosen by a hash of key, or all if there are no more: the choice needs no sort, and no task sends more than its part."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the model is fitted on, at most.
+from .common import hashed_share, small_batches
+
+#: Labelled pages that the model is fitted on, about at most.
 MAX_LABELLED = 400
 STEPS = 60
 #: Pages that are parsed and inferred together.
@@ -282,7 +284,7 @@ def taught(pages: DataFrame, docs: DataFrame, max_labelled: int = MAX_LABELLED)
     path = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
     named = F.regexp_extract(path, r"/(\d{1,18})(?:[/.?#]|$)", 1)
     some = pages.where("html is not null").select("page_id", "html", F.when(named != "", named.cast("long")).alias("doc")).where("doc is not null")
-    some = some.orderBy(F.xxhash64("page_id"), "page_id").limit(max_labelled).toPandas()
+    some = hashed_share(some, "page_id", max_labelled).toPandas()
     if not len(some):
         return fit([], [])
     texts = docs.where("text is not null").where(F.col("doc_id").isin([int(x) for x in some["doc"].unique()])).groupBy("doc_id").agg(F.min("text").alias("text")).toPandas()
@@ -319,4 +321,4 @@ def extracted(pages: DataFrame, docs: DataFrame) -> DataFrame:
                     sure.append(float(np.maximum(own, 1 - own).mean()) if len(own) else 1.0)
                 yield pa.record_batch([some.column(0), pa.array(texts, pa.string()), pa.array(blocks, pa.int64()), pa.array(sure, pa.float64())], ["page_id", "text", "n_blocks", "certainty"])
 
-    return pages.select("page_id", "html").mapInArrow(over, f"page_id {kind}, text string, n_blocks bigint, certainty double")
+    return small_batches(pages).select("page_id", "html").mapInArrow(over, f"page_id {kind}, text string, n_blocks bigint, certainty double")
