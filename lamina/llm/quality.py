@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, small_batches, text_bytes, without_ids
+from .common import BROADCAST_BYTES, checkpointed, hashed_share, hashed_tokens, in_batches, small_batches, text_bytes, without_ids
 
-#: Labelled documents that the classifier is fitted on, at most; everything else sees all documents.
+#: Labelled documents that the classifier is fitted on, about at most; everything else sees all documents.
 MAX_LABELLED = 50_000
 #: The part of the good labelled documents that the threshold must keep.
 KEEP_RECALL = 0.995
@@ -134,7 +134,7 @@ def scored(docs: DataFrame, labels: DataFrame, recall: float = KEEP_RECALL, max_
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = checkpointed(measured(small_batches(docs)))
     taught = rows.join(known, "doc_id").select("doc_id", "x", "quality")
-    some = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    some = hashed_share(checkpointed(taught), "doc_id", max_labelled).toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array([*some["x"]]).reshape(len(some), N_FEATURES)
     y = some["quality"].to_numpy(float) if len(some) else np.zeros(0)
     held = np.arange(len(y)) % 4 == 3
