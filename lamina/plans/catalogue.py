@@ -16,7 +16,7 @@ from ..repo import Repo, fsck, reachable, walk
 from ..shared import checkpointed, scratch_path, shared_dir
 from ..sources.frames import encode_frames, read_frames
 from ..sources.tables import cluster_scan, collection
-from ..streaming.changes import carried_runs, watch
+from ..streaming.changes import carried_runs, changes, watch
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,8 +212,8 @@ def snapshot_asof_commit(spark, sf_dir):
 @query(f"WITH {sql.HISTORY}, s AS (SELECT path, first(hash ORDER BY seq DESC) AS hash FROM hashed JOIN events ON event_id = seq WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY path) SELECT array_to_string(path, '/') AS path, hash FROM s WHERE hash IS NOT NULL")
 def snapshot_asof_time(spark, sf_dir):
     when = table(spark, sf_dir, "events").where("ts <= timestamp_ntz'2024-01-15 12:00:00'").select(F.col("event_id").alias("seq"))
-    changes = raw_events(spark, sf_dir).join(when, "seq", "left_semi").select("path", "seq", blob_hash(F.col("payload")).alias("hash"))
-    return history.last_write(changes, ["path"], "seq", ["hash"]).where("hash is not null").select(shown(), "hash")
+    told = raw_events(spark, sf_dir).join(when, "seq", "left_semi").select("path", "seq", blob_hash(F.col("payload")).alias("hash"))
+    return history.last_write(told, ["path"], "seq", ["hash"]).where("hash is not null").select(shown(), "hash")
 
 
 @query(f"WITH {sql.HISTORY} SELECT array_to_string(path, '/') AS path, hash, valid_from, valid_to FROM live")
@@ -255,15 +255,15 @@ def diff_counts(spark, sf_dir):
 
 @query(f"WITH {sql.HISTORY}, d AS ({_DIFF.format(a=_STATE.format(d=10), b=_STATE.format(d=20))}) SELECT * FROM d WHERE path LIKE 'app/g3/%'")
 def diff_prefix(spark, sf_dir):
-    changes = daily(spark, sf_dir).where((F.element_at("path", 1) == "app") & (F.element_at("path", 2) == "g3"))
-    return _shown_diff(history.differences_between(changes, 10, 20))
+    told = daily(spark, sf_dir).where((F.element_at("path", 1) == "app") & (F.element_at("path", 2) == "g3"))
+    return _shown_diff(history.differences_between(told, 10, 20))
 
 
 @query(f"WITH {sql.HISTORY}, d AS ({_DIFF.format(a=_STATE.format(d=10), b=_STATE.format(d=20))}) SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM d")
 def diff_order(spark, sf_dir):
     """A full outer join of two states, numbered in the order of path components."""
-    changes = daily(spark, sf_dir)
-    rows = history.diff(history.as_of(changes, 10), history.as_of(changes, 20))
+    told = daily(spark, sf_dir)
+    rows = history.diff(history.as_of(told, 10), history.as_of(told, 20))
     return rows.select("status", shown(), "old_hash", "new_hash", F.row_number().over(Window.orderBy("path")).cast("long").alias("place"))
 
 
@@ -272,8 +272,8 @@ def diff_order(spark, sf_dir):
     UNION ALL SELECT status, path FROM ({_DIFF.format(a='(SELECT * FROM a WHERE len(path) = 3)', b="(SELECT * FROM b WHERE path[2] >= 'g2')")})""")
 def diff_type_change(spark, sf_dir):
     """Two collections are single documents in the old state: each is one M, and its documents aren't told."""
-    changes = daily(spark, sf_dir)
-    new, old = history.as_of(changes, 20), history.as_of(changes, 10)
+    told = daily(spark, sf_dir)
+    new, old = history.as_of(told, 20), history.as_of(told, 10)
     low = F.element_at("path", 2) < "g2"
     old = old.where(~low).unionByName(old.where(low).select(F.slice("path", 1, 2).alias("path"), F.lit("group").alias("hash")).distinct())
     up = lambda s: s.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
@@ -490,9 +490,51 @@ def object_statistics(spark, sf_dir):
     return v.rollup(F.element_at("path", 2).alias("coll"), "valid_from").agg(F.count("*").alias("n_versions"), F.approx_count_distinct("hash").alias("n_blobs"))
 
 
+@query(f"{_CHAIN}, c AS (SELECT day AS seq, path, hash, lag(hash) OVER (PARTITION BY path ORDER BY day) AS before FROM daily), d AS (SELECT seq, CASE WHEN before IS NULL THEN 'A' WHEN hash IS NULL THEN 'D' ELSE 'M' END || ' ' || array_to_string(path, '/') AS line FROM c WHERE hash IS DISTINCT FROM before), m AS (SELECT seq, count(*) AS k FROM d GROUP BY seq) SELECT seq, CASE WHEN k = 1 THEN 'commit ' || hash[1:7] || '  ' || line ELSE '  ' || line END AS line FROM d JOIN m USING (seq) JOIN chain USING (seq) UNION ALL SELECT seq, 'commit ' || hash[1:7] || '  ' || k || ' events' FROM m JOIN chain USING (seq) WHERE k > 1")
+def commit_summary(spark, sf_dir):
+    """A line for a commit of one change; for others a heading and a line for each change."""
+    d = history.changed_per_commit(daily(spark, sf_dir)).select("seq", F.concat_ws(" ", "status", F.array_join("path", "/")).alias("text"))
+    n = d.groupBy("seq").agg(F.count("*").alias("n"))
+    head = n.join(commit_chain(spark, sf_dir).select("seq", F.substring("hash", 1, 7).alias("abbr")), "seq")
+    one = F.concat(F.lit("commit "), "abbr", F.lit("  "))
+    lines = d.join(F.broadcast(head), "seq").select("seq", F.when(F.col("n") == 1, F.concat(one, "text")).otherwise(F.concat(F.lit("  "), "text")).alias("line"))
+    return lines.unionByName(head.where("n > 1").select("seq", F.concat(one, F.col("n").cast("string"), F.lit(" events")).alias("line")))
+
+
+@query(f"SELECT doc_id, {sql.blob_hash('text')} IN (SELECT {sql.blob_hash('text')} FROM documents WHERE lang = 'en') AS there FROM documents")
+def object_exists(spark, sf_dir):
+    """Which documents' objects a store of the English ones already has."""
+    h = document_leaves(spark, sf_dir)
+    have = h.where(F.element_at("path", 2) == "en").select("hash").distinct().withColumn("there", F.lit(True))
+    mine = h.select(F.substring(F.element_at("path", 3), 4, 20).cast("long").alias("doc_id"), "hash")
+    return mine.join(have, "hash", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query("SELECT event_id, regexp_full_match(name, '[0-9a-f]{64}') AS valid FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN sha256(props) WHEN 1 THEN upper(sha256(props)) WHEN 2 THEN sha256(props)[1:63] ELSE sha256(props) || '0' END AS name FROM events)")
+def valid_object_names(spark, sf_dir):
+    h = F.sha2("props", 256)
+    name = F.when(F.col("event_id") % 4 == 0, h).when(F.col("event_id") % 4 == 1, F.upper(h)).when(F.col("event_id") % 4 == 2, F.substring(h, 1, 63)).otherwise(F.concat(h, F.lit("0")))
+    return table(spark, sf_dir, "events").select("event_id", name.rlike("^[0-9a-f]{64}$").alias("valid"))
+
+
 # streams
 
 
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'rebuild' WHEN 'purchase' THEN 'ignored' ELSE 'data' END AS class, 'app/g' || (user_id % 5) || '/{\"$numberLong\":\"' || user_id || '\"}' AS path, CASE WHEN event_type <> 'error' THEN '{\"_id\":' || user_id || ',\"p\":' || replace(props, ' ', '') || '}' END AS payload, CASE WHEN event_id % 3 > 0 THEN '{\"id\":' || (event_id % 7) || '}/' || (event_id // 10) END AS key, epoch_us(ts) // 1000000 * 1000000000 + event_id % 10 AS nanos FROM events")
+def event_changes(spark, sf_dir):
+    """Change events, made of the events table, as changes: path, canonical document, transaction key, time."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "update").when(F.col("event_type") == "view", "drop").otherwise("createIndexes")
+    ident = F.concat(F.lit('{"_id": {"$numberLong": "'), F.col("user_id").cast("string"), F.lit('"}}'))
+    document = F.concat(F.lit('{"p": '), "props", F.lit(', "_id": '), F.col("user_id").cast("string"), F.lit("}"))
+    stream = e.select(
+        F.col("event_id").alias("seq"), F.struct(F.base64(F.encode("props", "utf-8")).alias("_data")).alias("_id"), op.alias("operationType"), F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), (F.col("event_id") % 10).alias("i")).alias("clusterTime"),
+        F.struct(F.lit("app").alias("db"), F.concat(F.lit("g"), F.col("user_id") % 5).alias("coll")).alias("ns"), ident.alias("documentKey"), document.alias("fullDocument"),
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('{"id":'), F.col("event_id") % 7, F.lit("}"))).alias("lsid"), F.floor(F.col("event_id") / 10).alias("txnNumber"),
+    )
+    return changes(stream).select(F.col("seq").alias("event_id"), "class", shown(), "payload", "key", "nanos")
+
+
 def _streamed(spark, sf_dir):
     """The events table as a stream: one file, so one micro-batch; the operators don't rely on that."""
     schema = table(spark, sf_dir, "events").schema

@@ -1,0 +1,55 @@
+import json
+
+import pytest
+
+from lamina.repo import Meta, Repo
+from lamina.streaming.changes import EVENT, carried_runs, changes, commit_runs, grouped_runs
+
+
+def event(seq, op, ident='"a"', doc=None, txn=None, coll="c"):
+    return (seq, (f"t{seq}",), op, (10, seq), ("db", coll), f'{{"_id":{ident}}}' if ident else None, doc, '{"id": 1}' if txn else None, txn)
+
+
+def rows(spark, *events):
+    return changes(spark.createDataFrame([*events], f"seq long, {EVENT}"))
+
+
+def test_events_become_changes(spark):
+    got = {r.seq: r for r in rows(spark, event(1, "insert", '{"$oid": "x"}', '{"b": 1, "_id": 2}'), event(2, "delete", "7"), event(3, "modify", None, None), event(4, "update"), event(5, "drop", None), event(6, "create", None), event(7, "replace", '"q\\"x"', "{}", 5)).collect()}
+    assert got[1].path == ["db", "c", '{"$oid":"x"}'] and got[1].payload == '{"_id":2,"b":1}' and got[1].nanos == 10_000_000_001 and got[1].token == "t1"
+    assert got[2].path == ["db", "c", "7"] and got[2].payload is None and got[2]["class"] == "data"
+    assert [got[k]["class"] for k in (3, 4, 5, 6, 7)] == ["ignored", "ignored", "rebuild", "ignored", "data"]
+    assert got[7].path[2] == '"q\\"x"' and got[7].key == '{"id": 1}/5'
+
+
+def test_runs_end_at_what_is_between(spark):
+    one = [event(1, "insert", doc="{}", txn=1), event(2, "insert", doc="{}", txn=1), event(3, "create", None), event(4, "insert", doc="{}", txn=1), event(5, "insert", doc="{}"), event(6, "insert", doc="{}", txn=1), event(7, "insert", doc="{}", txn=2)]
+    assert [r.run_id for r in grouped_runs(rows(spark, *one)).orderBy("seq").collect()] == [1, 1, 2, 3, 4, 5, 6]
+
+
+def test_runs_are_carried_between_micro_batches(spark, tmp_path):
+    schema = "event_id long, shard long, key string"
+    for k, part in enumerate([[(1, 0, "a"), (2, 0, "a"), (3, 1, None)], [(4, 0, "a"), (5, 0, None), (6, 1, "b")], [(7, 1, "b"), (8, 0, "a")]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = carried_runs(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_id: r.run_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 1, 2: 1, 4: 1, 5: 2, 8: 3, 3: 1, 6: 2, 7: 2}
+
+
+def test_runs_are_committed_once(spark, tmp_path):
+    at = str(tmp_path / "store")
+    Repo.init(spark, at)
+    batch = rows(spark, event(1, "insert", '"a"', '{"v": 1}', 1), event(2, "insert", '"b"', '{"v": 1}', 1, "d"), event(3, "drop", None), event(4, "delete", '"z"'))
+    source = spark.createDataFrame([(["db", "d", '"b"'], b'{"v":1}')], "path array<string>, payload binary")
+    with Repo(spark, at, writable=True) as repo:
+        for _ in range(2):
+            assert commit_runs(repo, batch, "w", 0, lambda: source) == 3
+        assert repo.head()[0] == 2
+        log = [bytes(r.message) for r in repo.log().collect()]
+        assert log == [b"change", b"rebuild", b"transaction"]
+        assert [(r.status, r.path[1]) for r in repo.diff("HEAD~2", "HEAD~1").collect()] == [("D", "c")]
+        assert json.loads(repo.show_path("HEAD", ["db", "d", '"b"'])) == {"v": 1}
+        with pytest.raises(Exception, match="EMALFORMED"):
+            repo.commit(batch.limit(0).select("seq", "path", "payload").withColumnRenamed("seq", "ord"), Meta(1))
