@@ -16,8 +16,8 @@ from .common import fresh, partitions, small_batches
 
 #: Sampled texts for each partition of the sort.
 SAMPLES_PER_PARTITION = 20
-#: Characters of a sampled text that the driver sees; longer common beginnings only make partitions uneven.
-SAMPLE_CHARS = 4096
+#: Characters that the driver sees of all sampled texts together, and of one: common beginnings that are longer only make partitions uneven.
+SAMPLE_TOTAL, SAMPLE_CHARS = 16 << 20, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -57,7 +57,7 @@ def sorted_by_content(docs: DataFrame, key: str) -> DataFrame:
     n = partitions(spark)
     rows = docs.count()
     want = n * SAMPLES_PER_PARTITION
-    some = docs.select(F.substring(key, 1, SAMPLE_CHARS).alias("k")).where("k is not null")
+    some = docs.select(F.substring(key, 1, max(64, min(SAMPLE_CHARS, SAMPLE_TOTAL // want))).alias("k")).where("k is not null")
     some = some if rows <= want else some.sample(fraction=min(1.0, want / rows), seed=17)
     cuts = splitters([r.k for r in some.collect()], n)
     return docs.repartitionById(n, slot(F.col(key), cuts).cast("int")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("doc_id").asc_nulls_last())
