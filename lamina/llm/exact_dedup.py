@@ -25,12 +25,14 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def splitters(sample: list[str], n: int) -> list[str]:
-    """Up to n - 1 keys that divide the sampled texts evenly, each cut to the shortest beginning that still does."""
-    keys = sorted(x.encode() for x in sample)
+def splitters(sample: list[tuple[str, int]], n: int) -> list[str]:
+    """Up to n - 1 keys that divide the sampled (text, length) into parts of about equal length, each cut to the shortest beginning that still does."""
+    pairs = sorted((x.encode(), size) for x, size in sample)
+    keys = [k for k, _ in pairs]
+    ends = np.cumsum([size for _, size in pairs], dtype=np.float64) if pairs else np.zeros(1)
     out: list[str] = []
     for i in range(1, n):
-        k = i * len(keys) // n
+        k = int(np.searchsorted(ends, i * ends[-1] / n, "right"))
         if not 0 < k < len(keys) or keys[k] == keys[k - 1]:
             continue
         low, high = keys[k - 1].decode(errors="ignore"), keys[k].decode(errors="ignore")
@@ -57,9 +59,9 @@ def sorted_by_content(docs: DataFrame, key: str) -> DataFrame:
     n = partitions(spark)
     rows = docs.count()
     want = n * SAMPLES_PER_PARTITION
-    some = docs.select(F.substring(key, 1, max(64, min(SAMPLE_CHARS, SAMPLE_TOTAL // want))).alias("k")).where("k is not null")
+    some = docs.select(F.substring(key, 1, max(64, min(SAMPLE_CHARS, SAMPLE_TOTAL // want))).alias("k"), (F.length(key) + 16).alias("size")).where("k is not null")
     some = some if rows <= want else some.sample(fraction=min(1.0, want / rows), seed=17)
-    cuts = splitters([r.k for r in some.collect()], n)
+    cuts = splitters([(r.k, r.size) for r in some.collect()], n)
     return docs.repartitionById(n, slot(F.col(key), cuts).cast("int")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("doc_id").asc_nulls_last())
 
 

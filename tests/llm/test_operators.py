@@ -73,11 +73,13 @@ def test_exact_dedup_odd(spark, odd):
 def test_splitters_divide_evenly():
     r = random.Random(2)
     keys = ["license " * 30 + prose(r, 5) for _ in range(2000)]
-    cuts = exact_dedup.splitters(keys, 8)
+    cuts = exact_dedup.splitters([(k, 1) for k in keys], 8)
     assert cuts == sorted(cuts, key=str.encode) and len(cuts) == 7
     sizes = Counter(sum(c.encode() <= k.encode() for c in cuts) for k in keys)
     assert max(sizes.values()) < 2 * 2000 / 8
-    assert exact_dedup.splitters(["a"] * 50, 8) == [] and exact_dedup.splitters([], 8) == []
+    heavy = exact_dedup.splitters([(k, 1 + 1000 * (k < sorted(keys)[100])) for k in keys], 8)
+    assert sum(k < heavy[-1] for k in keys) < 120  # parts are even in length, not in number
+    assert exact_dedup.splitters([("a", 1)] * 50, 8) == [] and exact_dedup.splitters([], 8) == []
 
 
 # 2
