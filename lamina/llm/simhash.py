@@ -11,6 +11,7 @@ of the query's distance. The search is exact.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -40,12 +41,8 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
             ones = np.add.reduce(np.unpackbits(words.view(np.uint8), axis=1), axis=0, dtype=np.int32)
             out[i] = np.packbits(2 * ones > len(seen)).view(np.uint64)
         else:
-            raw = texts[i].as_py() or ""
-            word = np.uint64(0x5851F42D4C957F2D)
-            for c in raw.encode():
-                word = np.uint64((int(word) * 1099511628211 + c + 1) & (2**64 - 1))
-            h = mix(np.array([word, word + np.uint64(1) if word < np.uint64(2**64 - 1) else np.uint64(0)], np.uint64))
-            out[i] = h
+            raw = (texts[i].as_py() or "").encode()
+            out[i] = np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.uint64)
     return out
 
 
