@@ -5,6 +5,8 @@ character trigrams. The network reads overlapping windows of words in both
 directions, attention pools its states, and a document's score is that of its
 worst window. Training and scoring are numpy; the network is fitted on a
 bounded sample of labelled documents and scores every window of every text.
+All labelled documents left out of the fit set the threshold, at the labels'
+class mix.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, span_hashes, text_bytes, token_spans
+from .common import checkpointed, partitions, small_batches, span_hashes, text_bytes, token_spans
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 14, 1 << 13
 DIM, HIDDEN, ATTEND = 8, 8, 8
-#: Labelled documents that the network is fitted on, at most, half of them toxic if there are enough.
+#: Labelled documents that are sampled for fitting, at most, half of them toxic if there are enough; it takes those that aren't held.
 MAX_LABELLED = 3000
 EPOCHS = 14
 #: Windows that are scored at once.
@@ -235,31 +237,29 @@ def _worst(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> tuple[Network, float]:
-    """A network and the log odds from which a document is toxic; None's texts are empty.
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network | None:
+    """A network fitted on the texts, None without texts of both kinds; None's texts are empty.
 
     A toxic document teaches by its worst window: first the one with the most
     suspect words, then the network's own choice. A clean one teaches by its
-    worst window and one at random. A quarter of the documents sets the
-    threshold with the best F1.
+    worst window and one at random.
     """
     net = Network(seed)
     words = Words(pa.array(texts, pa.string()))
     first, length, text = words.windows()
     y = np.asarray(toxic, float)
-    held = np.arange(len(y)) % 4 == 3
-    if len(first) == 0 or len(set(y[~held])) < 2:
-        return net, float("inf")
+    if len(first) == 0 or len(set(y)) < 2:
+        return None
     r = np.random.default_rng(seed)
     adam = Adam(net.p)
-    suspect = np.concatenate([[0.0], np.cumsum(np.where(held[np.repeat(np.arange(len(y)), np.diff(words.at))], 0, _suspects(words, np.where(held, 0, y))[words.codes]))])
+    suspect = np.concatenate([[0.0], np.cumsum(_suspects(words, y)[words.codes])])
     score = suspect[first + length] - suspect[first]
-    balance = np.where(y > 0, (1 - y[~held].mean()) / y[~held].mean(), 1.0) ** 0.5
-    size = 128 if len(y) >= 1500 else 32  # few documents would make few steps
+    balance = np.where(y > 0, (1 - y.mean()) / y.mean(), 1.0) ** 0.5
+    size = 128 if len(y) >= 1125 else 32  # few documents would make few steps
     for epoch in range(epochs):
         worst = _worst(score, text, len(y))
-        chosen = [worst[(worst >= 0) & ~held]]
-        clean = np.flatnonzero(~held[text] & (y[text] == 0))
+        chosen = [worst[worst >= 0]]
+        clean = np.flatnonzero(y[text] == 0)
         if len(clean):
             chosen.append(r.choice(clean, min(len(clean), len(y))))
         some = r.permutation(np.concatenate(chosen))
@@ -269,33 +269,75 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
             for k in range(0, len(own), size):
                 b = own[k : k + size]
                 adam.step(net.gradient(words, first[b], int(n), y[text[b]], balance[text[b]] / len(b) * min(1, len(b) / 16)))
-        if epoch >= 3:
+        if epoch >= 3 and epoch + 1 < epochs:
             score = net.score(words)[0]
-    score = net.score(words)[0]
-    worst = _worst(score, text, len(y))
-    use = (worst >= 0) & (held if len(set(y[held])) == 2 else True)
-    return net, best_f1(score[worst[use]], y[use])
-
-
-def best_f1(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle of its gap."""
-    order = np.argsort(-score)
-    s, hits = score[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(np.argmax(f1))
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) - 1e-6
+    return net
+
+
+def best_f1(held: DataFrame) -> float:
+    """The score with the best F1 over all rows (score, toxic, weight), in the middle of its gap; rows of one score go together."""
+    spark = held.sparkSession
+    by = held.groupBy("score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("toxic")).alias("bad"))
+    ranged = checkpointed(by.repartitionByRange(partitions(spark), F.col("score").desc()).sortWithinPartitions(F.col("score").desc()))
+    parts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max("score").alias("top"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
+    parts.sort(key=lambda r: -r.top)
+    actual = sum(r.bad for r in parts)
+    before, n, bad = {}, 0.0, 0.0
+    for k, r in enumerate(parts):
+        before[r.part] = n, bad, parts[k + 1].top if k + 1 < len(parts) else None
+        n, bad = n + r.n, bad + r.bad
+
+    def best(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        s, n, bad, part = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(4))
+        n0, bad0, after = before[int(part[0])]
+        f1 = 2 * (bad0 + np.cumsum(bad)) / (n0 + np.cumsum(n) + actual)
+        k = int(np.argmax(f1))
+        low = float(s[k + 1]) if k + 1 < len(s) else after
+        yield pa.record_batch([pa.array([float(f1[k])]), pa.array([float(s[k])]), pa.array([low], pa.float64())], ["f1", "score", "low"])
+
+    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(best, "f1 double, score double, low double").collect()
+    top = max(found, key=lambda r: (r.f1, r.score))
+    return (top.score + top.low) / 2 if top.low is not None else top.score - 1e-6
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, held) of the labelled documents; those that are held, a quarter by a hash, are never fitted on."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3)
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Network, float]:
-    """fit on a sample of labelled documents, bounded by max_labelled."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def trained(docs: DataFrame, known: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Network | None, list]:
+    """fit on what isn't held of a sample of labelled documents, bounded by max_labelled; and the doc_ids that it was fitted on."""
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     bad = known.where("toxic = 1").orderBy(*by).limit(max_labelled // 2)
     good = known.where("toxic = 0").orderBy(*by).limit(max_labelled - max_labelled // 2)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bad.unionAll(good)), "doc_id").toPandas()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bad.unionAll(good).where("not held")), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
     order = np.random.default_rng(3).permutation(len(rows))
-    return fit([*rows["text"].iloc[order]], rows["toxic"].to_numpy()[order])
+    return fit([*rows["text"].iloc[order]], rows["toxic"].to_numpy()[order]), rows["doc_id"].unique().tolist()
+
+
+def threshold(scored: DataFrame, known: DataFrame, fitted: list) -> float:
+    """The score with the best F1 on all labelled documents that the network wasn't fitted on, weighted to the class mix of all labelled ones.
+
+    If those aren't of both kinds, all labelled documents set it.
+    """
+    spark = scored.sparkSession
+    ids = spark.createDataFrame([(x,) for x in fitted], scored.select("doc_id").schema).withColumn("fitted", F.lit(True))
+    rows = scored.where("doc_id is not null").select("doc_id", "score").join(known.select("doc_id", "toxic"), "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    rows = checkpointed(rows.select("score", "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted")))
+    n = {(r.toxic, r.fitted): r["count"] for r in rows.groupBy("toxic", "fitted").count().collect()}
+    every = [n.get((k, False), 0) + n.get((k, True), 0) for k in (0, 1)]
+    out = [n.get((k, False), 0) for k in (0, 1)]
+    if not all(every):
+        return float("inf")
+    if not all(out):
+        return best_f1(rows.withColumn("weight", F.lit(1.0)))
+    weight = F.when(F.col("toxic") == 1, every[1] / out[1]).otherwise(every[0] / out[0])
+    return best_f1(rows.where("not fitted").withColumn("weight", weight))
 
 
 def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,23 +348,29 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic; repeated rows are each reported. Contradicting labels count as
     toxic. Without labels of both kinds nothing is toxic.
     """
-    net, least = trained(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((net.p, least))
+    schema = f"doc_id {kind}, score double, n_windows bigint, worst_word bigint"
+    known = checkpointed(known_labels(labels))
+    net, fitted = trained(docs, known)
+    if net is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def over(batches):
         model = Network.__new__(Network)
-        model.p, cut = shared.value
+        model.p = shared.value
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 some = batch.slice(part, 1000)
                 words = Words(some.column(1))
                 score, text, start = model.score(words)
                 worst = _worst(score, text, some.num_rows)
-                bad = np.flatnonzero((worst >= 0) & (score[worst] >= cut)) if len(score) else np.zeros(0, np.int64)
-                if len(bad):
+                own = np.flatnonzero(worst >= 0)
+                if len(own):
                     windows = np.bincount(text, minlength=some.num_rows)
-                    w = worst[bad]
-                    yield pa.record_batch([some.column(0).take(pa.array(bad)), pa.array(score[w].astype(float)), pa.array(windows[bad]), pa.array(start[w])], ["doc_id", "score", "n_windows", "worst_word"])
+                    w = worst[own]
+                    yield pa.record_batch([some.column(0).take(pa.array(own)), pa.array(score[w].astype(float)), pa.array(windows[own]), pa.array(start[w])], ["doc_id", "score", "n_windows", "worst_word"])
 
-    return small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, score double, n_windows bigint, worst_word bigint")
+    # every text is scored once; the scores are kept, as the threshold needs those of all labelled documents
+    scored = checkpointed(small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, schema))
+    return scored.where(F.col("score") >= threshold(scored, known, fitted))

@@ -564,6 +564,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(i in got for i in held if not y[i]) <= 4
 
 
+def test_toxicity_threshold_on_all_left_out_at_the_labels_mix(spark):
+    r = random.Random(21)
+    rows = [(i, round(r.gauss(2.0 if i % 9 == 0 else 0.0, 1.0), 2), int(i % 9 == 0)) for i in range(4000)]
+    fitted = [i for i, _, y in rows if y and i % 4 or not y and i % 7 == 0]  # most toxic ones and few clean ones
+    scored = spark.createDataFrame([(i, s) for i, s, _ in rows] + [(None, 9.0), (9000, 9.0)], "doc_id long, score double")
+    known = toxicity.known_labels(spark.createDataFrame([(i, None, y) for i, _, y in rows], LABELS))
+    left = [x for x in rows if x[0] not in set(fitted)]
+    weight = [sum(y == k for _, _, y in rows) / sum(y == k for _, _, y in left) for k in (0, 1)]
+
+    def f1(cut):
+        hits = sum(weight[1] for _, s, y in left if s >= cut and y)
+        return 2 * hits / (sum(weight[y] for _, s, y in left if s >= cut) + sum(y for *_, y in rows))
+
+    marks = sorted({s for _, s, _ in left}, reverse=True)
+    k = max(range(len(marks)), key=lambda k: f1(marks[k]))
+    assert math.isclose(toxicity.threshold(scored, known, fitted), (marks[k] + marks[k + 1]) / 2, abs_tol=1e-9)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, None, None), (None, 1, 1), (9, 1, 1), (7, 0, 0), (8, 1, 0), (11, 1, 0)], LABELS)
     assert {"doc_id", "score", "n_windows", "worst_word"} == set(toxicity.toxic(odd, labels).columns)
