@@ -8,6 +8,8 @@ URL is held only against the rules of its own tokens.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +68,16 @@ def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
     n = sets.count()
     if not n or not sets.where("bad").count():
         return []
+    alike, implied = together(sets, min_support * n)
     # only combinations that are frequent with bad can be rules, so those are mined among the bad;
     # how many good URLs hold them is counted after
-    bad = sets.where("bad").select("items")
+    first = F.lit([*(x for x, own in alike.items() if x == own[0]), _BAD])
+    bad = sets.where("bad").select(F.array_intersect("items", first).alias("items"))
     share = min(1.0, min_support * n / bad.count())
     frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(bad).freqItemsets
     some = frequent.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("rule"), F.col("freq").alias("bad_n"))
-    some = checkpointed(some.where(F.size("rule") <= 4))
+    free = F.udf(lambda rule: all(implied.get(x, frozenset()).isdisjoint(rule) for x in rule), "boolean")
+    some = checkpointed(some.where(free("rule")))
     rarest = sets.select(F.explode("items").alias("token")).groupBy("token").count()
     posted = some.withColumn("token", F.explode("rule")).join(rarest, "token").groupBy("rule", "bad_n").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
     hits = sets.where("not bad").select("items", F.explode("items").alias("token")).join(posted, "token").where(F.size(F.array_except("rule", "items")) == 0)
@@ -82,18 +87,39 @@ def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: flo
     c, m = F.col("confidence"), F.col("bad_n") / F.col("confidence")
     low = (c + z2 / (2 * m) - STANDARD_ERRORS * F.sqrt(c * (1 - c) / m + z2 / (4 * m * m))) / (1 + z2 / m)
     found = rules.where((c >= min_confidence) & (low >= 0.5)).collect()
-    return pruned([(list(r.rule), r.confidence, r.bad_n / n) for r in found])
+    kept = pruned([(list(r.rule), r.confidence, r.bad_n / n) for r in found])
+    out = [(sorted(t), c, s) for rule, c, s in kept for t in itertools.product(*(alike[x] for x in rule))]
+    return sorted(out, key=lambda r: (len(r[0]), r[0]))
+
+
+def together(sets: DataFrame, least: float) -> tuple[dict[str, list[str]], dict[str, frozenset[str]]]:
+    """Of the tokens that at least so many bad sets hold: those that are in the same sets as each, itself among them, and those that are in all of its sets.
+
+    A combination of a token and one that is in all of its sets has the counts
+    of the one without the latter, so it never stays a rule. Of tokens that are
+    in the same sets, one is mined for all.
+    """
+    often = sets.where("bad").select(F.explode("items").alias("a")).where(F.col("a") != _BAD).groupBy("a").count().where(F.col("count") > least - 1)
+    names = sorted(r.a for r in often.collect())
+    held = sets.select(F.array_intersect("items", F.lit(names) if names else F.array().cast("array<string>")).alias("own"))
+    pairs = held.select(F.explode("own").alias("a"), "own").select("a", F.explode("own").alias("b")).groupBy("a", "b").count()
+    total = pairs.where("a = b").select("a", F.col("count").alias("n"))
+    always: dict[str, set[str]] = {x: {x} for x in names}
+    for r in pairs.join(total, "a").where("count = n").select("a", "b").collect():
+        always[r.a].add(r.b)
+    alike = {x: sorted(y for y in own if x in always[y]) for x, own in always.items()}
+    return alike, {x: frozenset(own - {x}) for x, own in always.items()}
 
 
 def pruned(rules: list[tuple[list[str], float, float]]) -> list[tuple[list[str], float, float]]:
     """The rules of which no proper part is a rule that is as confident."""
-    sure = {frozenset(t): c for t, c, _ in rules}
-    kept: dict[frozenset, float] = {}
+    kept: dict[str, list[tuple[frozenset, float]]] = {}
     out = []
     for t, c, s in sorted(rules, key=lambda r: (len(r[0]), sorted(r[0]))):
-        parts = [frozenset(x for k, x in enumerate(sorted(t)) if mask >> k & 1) for mask in range(1, (1 << len(t)) - 1)]
-        if not any(sure.get(p, -1.0) >= c for p in parts):
-            kept[frozenset(t)] = c
+        own = frozenset(t)
+        # a part that went has a part of its own that stayed and is as confident
+        if not any(sure >= c and part < own for x in own for part, sure in kept.get(x, ())):
+            kept.setdefault(min(t), []).append((own, c))
             out.append((sorted(t), c, s))
     return out
 

@@ -378,6 +378,29 @@ def test_url_rules_against_brute_force(spark):
     assert hit == {i: (len(x), max(c for _, c in x)) for i, x in brute.items() if x}
 
 
+def test_url_rules_of_any_size_against_brute_force(spark):
+    r = random.Random(22)
+    rows = []
+    for i in range(500):
+        own = [x for x in "abcdef" if r.random() < 0.87]
+        twins = "&u&v" if r.random() < 0.5 else ""
+        bad = len(own) == 6 or not own[2:] or twins and own[:1] == ["b"]
+        rows.append((f"http://h.org/?{'&'.join(own)}{twins}", bool(bad)))
+    urls = spark.createDataFrame(rows, "url string, bad boolean")
+    sets = [(frozenset(x.t), x.bad) for x in urls.select(url_rules.tokens(url_rules.F.col("url")).alias("t"), "bad").collect()]
+    items, found, z = sorted({x for t, _ in sets for x in t}), {}, url_rules.STANDARD_ERRORS
+    for k in range(1, len(items) + 1):
+        for c in map(frozenset, itertools.combinations(items, k)):
+            both, n = sum(c <= t and b for t, b in sets), sum(c <= t for t, b in sets)
+            if both >= 0.02 * len(sets) and both / n >= 0.9:
+                p = both / n
+                if (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n) >= 0.5:
+                    found[c] = p, both / len(sets)
+    want = sorted((len(t), sorted(t), round(c, 9), round(s, 9)) for t, (c, s) in found.items() if not any(p < t and found[p][0] >= c for p in found))
+    got = url_rules.mined(urls, min_support=0.02)
+    assert [(len(t), t, round(c, 9), round(s, 9)) for t, c, s in got] == want and max(len(t) for t, _, _ in got) >= 6
+
+
 def test_url_rules_odd(spark):
     pages = spark.createDataFrame([(1, None, "x"), (None, "http://casino.example.com/en/1", "x"), (2, "", None), (2, "http://ok.org/2", "y")], "page_id long, url string, token string")
     labels = spark.createDataFrame([(1, None, None), (None, 0, 0), (2, 1, 0), (2, 1, 0)], LABELS)
