@@ -1,9 +1,10 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model.
+"""Perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 Spark counts the model over all documents: each scan task packs its distinct
-bigrams by shard, one shuffle brings a shard's counts together, and its task
-writes them as sorted arrays of 64-bit hashes to the shared folder. A second,
-small shuffle counts in how many contexts each word occurs. Workers map the
+n-grams by shard, one shuffle brings the counts of a shard's contexts together,
+and its task writes them as sorted arrays of 64-bit hashes to the shared
+folder. What it passes on counts the words before each shorter n-gram, so every
+lower order takes one more shuffle, smaller than the last. Workers map the
 arrays into memory, so the model may be larger than any worker.
 """
 
@@ -16,34 +17,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import checkpointed, hashed_tokens, mix, partitions, scratch
+from .common import hashed_tokens, mix, partitions, scratch
 
 #: Tokens that a scan task counts before it passes the counts on.
-FLUSH_TOKENS = 4 << 20
+FLUSH_TOKENS = 2 << 20
+#: Words of the longest n-grams in op10_lm_score.
+ORDER = 3
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _TOP = np.uint64(0xFFFF) << np.uint64(48)
 
 
-def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and words of all positions, and each text's first position; a text of n tokens has n + 1, a text of none has none."""
+def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams that end at each position, as a column for each of their words, and each text's first position; a text of n tokens has n + 1, a text of none has none."""
     tokens, at = hashed_tokens(texts)
     n = np.diff(at)
     size = np.where(n > 0, n + 1, 0)
     first = np.concatenate([[0], np.cumsum(size)])
     words = np.empty(first[-1], np.uint64)
-    left = np.empty(first[-1], np.uint64)
     last = first[1:][n > 0] - 1
     inner = np.ones(len(words), bool)
     inner[last] = False
     words[inner], words[last] = tokens, END
-    left[1:] = words[:-1]
-    left[first[:-1][n > 0]] = BEGIN
-    return left, words, first
+    within = np.arange(len(words)) - np.repeat(first[:-1], size)
+    columns = [words]
+    for k in range(1, order):
+        left = np.full(len(words), BEGIN, np.uint64)
+        left[k:] = np.where(within[k:] >= k, words[: max(len(words) - k, 0)], BEGIN)
+        columns.insert(0, left)
+    return columns, first
 
 
-def pair_hash(left: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The bigram's hash: 16 bits of its context, so that it lies in its context's shard, and 48 of both."""
-    return left & _TOP | mix(mix(left) ^ words) >> np.uint64(16)
+def context_hash(left: list[np.ndarray]) -> np.ndarray:
+    """The hash of the words of a context; that of one word is its own."""
+    out = left[0]
+    for x in left[1:]:
+        out = mix(mix(out) ^ x)
+    return out
+
+
+def gram_hash(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The n-gram's hash: 16 bits of its context, so that it lies in its context's shard, and 48 of both."""
+    return context & _TOP | mix(mix(context) ^ words) >> np.uint64(16)
 
 
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -59,26 +73,62 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *(np.add.reduceat(v[order], first) if len(key) else v for v in values)
 
 
-def _count_pairs(left: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams in the order of their hash, and their counts."""
-    key = pair_hash(left, words)
+def _count(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams in the order of their hash: the hash, their words, their context's hash and their counts."""
+    context = context_hash(columns[:-1])
+    key = gram_hash(context, columns[-1])
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], first) if len(key) else n
-    return key[first], left[order[first]], words[order[first]], total
+    some = order[first]
+    return key[first], [c[some] for c in columns], context[some], total
 
 
-def _lists(shard: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """One row for each shard with entries, its columns as lists; entries are sorted by shard."""
-    cuts = np.searchsorted(shard, np.arange(n + 1))
+def _pack(columns: list[np.ndarray], n: np.ndarray, shard: np.ndarray, shards: int) -> pa.RecordBatch:
+    """One row for each shard with entries: its n-grams as numbers of its distinct words, sorted and compressed."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     some = np.flatnonzero(np.diff(cuts))
-    ends = pa.array(np.append(cuts[some], cuts[-1]).astype(np.int32))
-    return some.astype(np.int32), [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
+    sizes, blobs, codec = [], [], pa.Codec("zstd")
+    for k in some:
+        own = order[cuts[k] : cuts[k + 1]]
+        names, codes = np.unique(np.concatenate([c[own] for c in columns]), return_inverse=True)
+        codes = codes.astype(np.uint32).reshape(len(columns), len(own))
+        by = np.lexsort(codes[::-1])
+        codes, counts = codes[:, by], n[own][by].astype(np.uint64)
+        # bytes of one rank lie together, as most of the upper ones are 0
+        parts = [names.tobytes(), *(c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in map(np.ascontiguousarray, codes)), counts.view(np.uint8).reshape(-1, 8).T.tobytes()]
+        blobs.append(codec.compress(b"".join(parts), asbytes=True))
+        sizes.append([len(own), len(names)])
+    return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(sizes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["shard", "size", "blob"])
+
+
+def _unpack(size: list[int], blob: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    m, d = size
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, 8 * d + m * (4 * width + 8)), np.uint8)
+    names = raw[: 8 * d].view(np.uint64)
+    number = lambda at, b, kind: np.ascontiguousarray(raw[at : at + m * b].reshape(b, m).T).view(kind).reshape(-1)
+    return [names[number(8 * d + 4 * m * k, 4, np.uint32)] for k in range(width)], number(8 * d + 4 * m * width, 8, np.uint64).astype(np.int64)
+
+
+def _read(batches, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray | int] | None:
+    """The number of a shard, all its entries, and the sum of what the longer n-grams' tasks tell; None if it has no entries."""
+    shard, parts, told = None, [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            shard = row["shard"]
+            told = told + np.array(row["of"], np.int64) if row.get("of") else told
+            parts.append(_unpack(row["size"], row["blob"], width))
+    if not parts:
+        return None
+    return shard, [np.concatenate([p[0][k] for p in parts]) for k in range(width)], np.concatenate([p[1] for p in parts]), told
 
 
 def _save(path: str, array: np.ndarray) -> None:
-    """Whole or not at all: a task that runs twice leaves the same file."""
+    """Whole or not at all: a task that runs twice leaves the same file. Counts take as few bytes as their largest needs."""
+    if array.dtype == np.int64:
+        array = array.astype(np.min_scalar_type(int(array.max(initial=0))))
     os.makedirs(os.path.dirname(path), exist_ok=True)
     tmp = f"{path}.{uuid.uuid4().hex}"
     with open(tmp, "wb") as f:
@@ -96,77 +146,86 @@ def discounts(n: np.ndarray) -> list[float]:
     return [float(np.clip(x, 0.0, k + 1.0)) for k, x in enumerate(d)]
 
 
-def train(docs: DataFrame) -> dict:
-    """Counts the model over all texts and writes it; returns what workers need to open it."""
+def train(docs: DataFrame, order: int = 2) -> dict:
+    """Counts the model of n-grams of up to order words over all texts and writes it; returns what workers need to open it."""
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark = docs.sparkSession
     n = partitions(spark)
     path = scratch(spark, "kneser-ney")
 
-    def pairs(batches):
+    def scanned(batches):
         held, size = [], 0
+
+        def merged():
+            columns = [np.concatenate([h[0][k] for h in held]) for k in range(order)]
+            _, columns, context, total = _count(columns, np.concatenate([h[1] for h in held]))
+            held.clear()
+            return _pack(columns, total, shard_of(context, n), n)
+
         for batch in batches:
-            left, words, _ = bigrams(batch.column(0))
-            held.append(_count_pairs(left, words, np.ones(len(left), np.int64))[1:])
-            size += len(held[-1][0])
+            columns, _ = grams(batch.column(0), order)
+            _, columns, _, total = _count(columns, np.ones(len(columns[0]), np.int64))
+            held.append((columns, total))
+            size += len(total)
             if size > FLUSH_TOKENS:
-                held = [_count_pairs(*map(np.concatenate, zip(*held)))[1:]]
-                yield packed(*held.pop())
+                yield merged()
                 size = 0
-        if held:
-            yield packed(*_count_pairs(*map(np.concatenate, zip(*held)))[1:])
-
-    def packed(left, words, total):
-        # a context's bigrams lie together, so the context is named once
-        order = np.lexsort((words, left))
-        left, words, total = left[order], words[order], total[order]
-        first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else np.zeros(0, np.int64)
-        runs = np.diff(np.append(first, len(left)))
-        context = left[first]
-        some, (names, lengths) = _lists(shard_of(context, n), n, context.view(np.int64), runs.astype(np.int32))
-        _, (rights, counts) = _lists(shard_of(left, n), n, words.view(np.int64), np.minimum(total, 2**31 - 1).astype(np.int32))
-        return pa.record_batch([pa.array(some), names, lengths, rights, counts], ["shard", "context", "run", "word", "n"])
-
-    def write(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        flat = lambda name, kind: np.concatenate([b.column(name).flatten().to_numpy(zero_copy_only=False) for b in parts]).astype(kind)
-        shard = parts[0].column("shard")[0].as_py()
-        left = np.repeat(flat("context", np.int64), flat("run", np.int64)).view(np.uint64)
-        key, left, words, total = _count_pairs(left, flat("word", np.int64).view(np.uint64), flat("n", np.int64))
-        kinds = [(total == 1).astype(np.int64), (total == 2).astype(np.int64), (total >= 3).astype(np.int64)]
-        context, *stats = _sum_by(left, total, *kinds)
-        _save(f"{path}/{shard}/pair_key.npy", key)
-        _save(f"{path}/{shard}/pair_n.npy", total.astype(np.uint32))
-        _save(f"{path}/{shard}/context_key.npy", context)
-        _save(f"{path}/{shard}/context_n.npy", np.stack(stats, 1))
-        word, seen = _sum_by(words, np.ones(len(words), np.int64))
-        some, columns = _lists(shard_of(word, n), n, word.view(np.int64), seen.astype(np.int64))
-        of = np.array([np.sum(total == k) for k in (1, 2, 3, 4)], np.int64)
-        tell = pa.array([of if i == 0 else None for i in range(len(some))], pa.list_(pa.int64()))
-        yield pa.record_batch([pa.array(some), *columns, tell], ["shard", "word", "n", "of"])
+        if size:
+            yield merged()
+
+    def level(width: int):
+        def write(batches):
+            found = _read(batches, width)
+            if found is None:
+                return
+            shard, columns, total, told = found
+            key, columns, context, total = _count(columns, total)
+            context, *stats = _sum_by(context, total, *(x.astype(np.int64) for x in (total == 1, total == 2, total >= 3)))
+            _save(f"{path}/{shard}/gram{width}_key.npy", key)
+            _save(f"{path}/{shard}/gram{width}_n.npy", total)
+            _save(f"{path}/{shard}/context{width}_key.npy", context)
+            for k, x in enumerate(stats):
+                _save(f"{path}/{shard}/context{width}_{k}.npy", x)
+            of = np.zeros(4 * (order - 1), np.int64)
+            of[4 * (width - 2) : 4 * (width - 1)] = [np.sum(total == k) for k in (1, 2, 3, 4)]
+            of += told
+            # each n-gram is one word before the shorter one
+            shorter, one = columns[1:], np.ones(len(key), np.int64)
+            if width > 2:
+                _, shorter, before, seen = _count(shorter, one)
+            else:
+                before, seen = _sum_by(shorter[0], one)
+                shorter = [before]
+            out = _pack(shorter, seen, shard_of(before, n), n)
+            yield pa.record_batch([*out.columns, pa.array([of if i == 0 else None for i in range(out.num_rows)], pa.list_(pa.int64()))], ["shard", "size", "blob", "of"])
+
+        return write
 
     def unigrams(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        found = _read(batches, 1)
+        if found is None:
             return
-        flat = lambda name: np.concatenate([b.column(name).flatten().to_numpy(zero_copy_only=False) for b in parts]).astype(np.int64)
-        shard = parts[0].column("shard")[0].as_py()
-        word, seen = _sum_by(flat("word").view(np.uint64), flat("n"))
+        shard, columns, seen, told = found
+        word, seen = _sum_by(columns[0], seen)
         _save(f"{path}/{shard}/word_key.npy", word)
         _save(f"{path}/{shard}/word_n.npy", seen)
         of = np.array([np.sum(seen == k) for k in (1, 2, 3, 4)] + [seen.sum(), len(seen), np.sum(seen >= 3)], np.int64)
+        of = np.concatenate([of, np.zeros(4 * (order - 1), np.int64) + told])
         yield pa.record_batch([pa.array([of], pa.list_(pa.int64()))], ["of"])
 
-    lists = "shard int, context array<bigint>, run array<int>, word array<bigint>, n array<int>"
-    counted = docs.where("text is not null").select("text").mapInArrow(pairs, lists).repartitionById(n, "shard")
-    contexts = checkpointed(counted.mapInArrow(write, "shard int, word array<bigint>, n array<bigint>, of array<bigint>"))
-    pair_of = np.array([r.of for r in contexts.select("of").where("of is not null").collect()] or [[0] * 4]).sum(0)
-    word_of = np.array([r.of for r in contexts.select("shard", "word", "n").repartitionById(n, "shard").mapInArrow(unigrams, "of array<bigint>").collect()] or [[0] * 7]).sum(0)
+    packed = "shard int, size array<bigint>, blob binary"
+    counted = docs.where("text is not null").select("text").mapInArrow(scanned, packed)
+    # one job: each order's counts lie on disk once, as what the next order's tasks read
+    for width in range(order, 1, -1):
+        counted = counted.repartitionById(n, "shard").mapInArrow(level(width), f"{packed}, of array<bigint>")
+    all_of = np.array([r.of for r in counted.repartitionById(n, "shard").mapInArrow(unigrams, "of array<bigint>").collect()] or [[0] * (7 + 4 * (order - 1))]).sum(0)
+    word_of = all_of[:7]
+    gram_d = {width: discounts(all_of[7 + 4 * (width - 2) :][:4]) for width in range(2, order + 1)}
     d1 = discounts(word_of[:4])
     total, vocabulary, many = (int(x) for x in word_of[4:])
     back_off = (d1[0] * int(word_of[0]) + d1[1] * int(word_of[1]) + d1[2] * many) / total if total else 1.0
-    return {"path": path, "shards": n, "pair": discounts(pair_of), "word": d1, "total": total, "vocabulary": vocabulary, "uniform": back_off / (vocabulary + 1)}
+    return {"path": path, "shards": n, "order": order, "gram": gram_d, "word": d1, "total": total, "vocabulary": vocabulary, "uniform": back_off / (vocabulary + 1)}
 
 
 class Model:
@@ -183,33 +242,34 @@ class Model:
             self.open[path] = np.load(path, mmap_mode="r") if os.path.exists(path) and os.path.getsize(path) > 128 else None
         return self.open[path]
 
-    def look_up(self, keys: np.ndarray, kind: str, width: int = 0) -> np.ndarray:
-        """The values of the keys, 0 for unknown ones. Keys are sought in their order, so that pages are read in turn."""
-        names, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(names), width) if width else len(names), np.int64)
-        cuts = np.searchsorted(shard_of(names, self.told["shards"]), np.arange(self.told["shards"] + 1))
+    def look_up(self, keys: np.ndarray, kind: str, names: tuple[str, ...] = ("n",)) -> np.ndarray:
+        """A row of the keys' values for each name, 0 for unknown ones. Keys are sought in their order, so that pages are read in turn."""
+        sought, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(names), len(sought)), np.int64)
+        cuts = np.searchsorted(shard_of(sought, self.told["shards"]), np.arange(self.told["shards"] + 1))
         for shard in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[shard], cuts[shard + 1]
             table = self.array(int(shard), f"{kind}_key")
             if table is None:
                 continue
-            at = np.searchsorted(table, names[a:b])
+            at = np.searchsorted(table, sought[a:b])
             at[at == len(table)] = 0
-            hit = np.flatnonzero(table[at] == names[a:b])
-            out[a + hit] = self.array(int(shard), f"{kind}_n")[at[hit]]
-        return out[back]
-
-    def log_probability(self, left: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural logarithms of P(word | context)."""
-        t = self.told
+            hit = np.flatnonzero(table[at] == sought[a:b])
+            for k, name in enumerate(names):
+                out[k, a + hit] = self.array(int(shard), f"{kind}_{name}")[at[hit]]
+        return out[:, back]
+
+    def log_probability(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Natural logarithms of P(last word | words before it), each order interpolated with the one below."""
+        t, words = self.told, columns[-1]
         less = lambda n, d: np.maximum(n - np.select([n == 0, n == 1, n == 2], [0.0, d[0], d[1]], d[2]), 0.0)
-        seen = self.look_up(words, "word")
-        low = less(seen, t["word"]) / max(t["total"], 1) + t["uniform"]
-        total, n1, n2, n3 = self.look_up(left, "context", 4).T
-        d = t["pair"]
-        high = less(self.look_up(pair_hash(left, words), "pair"), d) / np.maximum(total, 1)
-        back_off = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
-        return np.log(np.maximum(high + back_off * low, 1e-300))
+        p = less(self.look_up(words, "word")[0], t["word"]) / max(t["total"], 1) + t["uniform"]
+        for width in range(2, t["order"] + 1):
+            context, d = context_hash(columns[-width:-1]), t["gram"][width]
+            total, n1, n2, n3 = self.look_up(context, f"context{width}", ("0", "1", "2", "3"))
+            high = less(self.look_up(gram_hash(context, words), f"gram{width}")[0], d) / np.maximum(total, 1)
+            p = high + np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0) * p
+        return np.log(np.maximum(p, 1e-300))
 
 
 def score(docs: DataFrame, told: dict) -> DataFrame:
@@ -225,8 +285,8 @@ def score(docs: DataFrame, told: dict) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, words, first = bigrams(batch.column(1))
-            logs = np.concatenate([[0.0], np.cumsum(model.log_probability(left, words))])
+            columns, first = grams(batch.column(1), told["order"])
+            logs = np.concatenate([[0.0], np.cumsum(model.log_probability(columns))])
             n, log = np.diff(first), np.diff(logs[first])
             perplexity = pa.array(np.exp(-log / np.maximum(n, 1)), mask=n == 0)
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(log), perplexity], ["doc_id", "n_tokens", "log_prob", "perplexity"])
@@ -234,6 +294,6 @@ def score(docs: DataFrame, told: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
 
 
-def perplexity(docs: DataFrame) -> DataFrame:
+def perplexity(docs: DataFrame, order: int = 2) -> DataFrame:
     """score of docs under the model of all of docs."""
-    return score(docs, train(docs))
+    return score(docs, train(docs, order))

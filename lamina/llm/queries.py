@@ -48,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
+    return kneser_ney.perplexity(_table(spark, sf_dir, "documents"), kneser_ney.ORDER)
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_decontamination, op5_secrets, op6_url_rules, op7_html, op8_packing, op9_toxicity, op10_lm_score)}

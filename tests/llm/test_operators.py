@@ -657,6 +657,43 @@ def test_kneser_ney_against_brute_force(spark):
         assert math.isclose(sum(p(a, b) for b in cont), 1, rel_tol=0.05)
 
 
+def test_kneser_ney_of_higher_order_against_brute_force(spark):
+    r = random.Random(23)
+    vocabulary = [word(r) for _ in range(12)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 30))) for _ in range(120)]
+    texts += [f"{r.choice(vocabulary)} rare{k % 9} {r.choice(vocabulary)}" for k in range(14)]
+    for order in (3, 4):
+        grams = {order: Counter()}
+        for t in texts:
+            words = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+            if t.split():
+                grams[order].update(tuple(words[i - order + 1 : i + 1]) for i in range(order - 1, len(words)))
+        for k in range(order - 1, 0, -1):
+            grams[k] = Counter(g[1:] for g in grams[k + 1])
+        d = {k: kneser_ney.discounts(np.array([sum(c == j for c in grams[k].values()) for j in (1, 2, 3, 4)])) for k in grams}
+        after = {k: defaultdict(list) for k in grams}
+        for k, own in grams.items():
+            for g, c in own.items():
+                after[k][g[:-1]].append(c)
+
+        def p(g):
+            k, counts = len(g), after[len(g)][g[:-1]]
+            low = p(g[1:]) if k > 1 else 1 / (len(grams[1]) + 1)
+            if not counts:
+                return low
+            less = lambda c: d[k][min(c, 3) - 1]  # noqa: B023, E731
+            c = grams[k][g]
+            return (max(c - less(c), 0) if c else 0) / sum(counts) + sum(map(less, counts)) / sum(counts) * low
+
+        told = kneser_ney.train(frame(spark, texts), order)
+        got = {x.doc_id: x for x in kneser_ney.score(frame(spark, [*texts, "zz " + texts[3]]), told).collect()}
+        for i, t in enumerate([*texts, "zz " + texts[3]]):
+            words = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+            logs = [math.log(p(tuple(words[j - order + 1 : j + 1]))) for j in range(order - 1, len(words))] if t.split() else []
+            assert got[i].n_tokens == len(logs) and math.isclose(got[i].log_prob, sum(logs), rel_tol=1e-6, abs_tol=1e-9)
+    assert kneser_ney.ORDER >= 3
+
+
 def test_kneser_ney_scores_unseen_words(spark):
     told = kneser_ney.train(frame(spark, ["a b c", "a b d", "a c"]))
     got = {x.doc_id: x for x in kneser_ney.score(frame(spark, ["a b c", "x y z"]), told).collect()}
