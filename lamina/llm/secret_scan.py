@@ -1,7 +1,8 @@
 """Secret scans by a character convolutional network.
 
 Every run of characters that keys are made of is a candidate if it mixes
-letters and digits or is long; the network reads the whole candidate and the
+letters and digits or is long, and so is whatever is given to a key-like name,
+of any characters and length; the network reads the whole candidate and the
 characters around it. It is trained in numpy on labelled findings: formats of
 real secrets and of what looks like them, each in contexts of either kind. Its
 outputs are calibrated on held-out findings, and the threshold is the highest
@@ -11,6 +12,7 @@ that keeps a required part of the held-out secrets.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,60 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[some], b[some]
 
 
+#: What a key's name ends in, and how a value is given to it.
+_VALUE = re.compile(
+    rb"""(?i:token|secret|passw(?:or)?d|passphrase|passcode|pass|pwd|pin|credentials?|bearer|auth|(?:api|access|private|secret|auth|encryption|signing)[ _-]?key|key)(?:[_-]\w{1,16}|s)?["']?"""
+    rb"""(?:[ \t]*(?::=|=>|=|:)[ \t]*|[ \t]+(?:is[ \t]+)?(?=["']))(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'][^\s]*))"""
+    rb"""|(?i:bearer)[ \t]+([^\s"']+)"""
+)
+_LONG = re.compile(rb"[A-Za-z+/_=\-.~]{20,}")
+
+
+def proposals(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates, runs of 20 or more key characters without digits, and every value given to a key-like name, whatever its characters and length.
+
+    A quoted value is whole with its spaces. A value takes the place of a
+    run that is hardly more than its name and itself.
+    """
+    a, b = candidates(data, off)
+    spans = {*zip(a.tolist(), b.tolist())}
+    values, named = [], []
+    for k in range(len(off) - 1):
+        text, o = data[off[k] : off[k + 1]].tobytes(), int(off[k])
+        for m in _VALUE.finditer(text):
+            x, y = m.span(m.lastindex)
+            if m.lastindex >= 3:
+                y = x + len(text[x:y].rstrip(b"\"',;)]}>")) or y
+            values.append((o + x, o + y))
+            named.append((o + m.start(), o + m.end()))
+        spans |= {(o + m.start(), o + m.end()) for m in _LONG.finditer(text) if m.group().strip(b"+/_=-.~")}
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(spans):
+        if out and x < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], y)
+        else:
+            out.append((x, y))
+    ends = np.array([y for _, y in named], np.int64)
+    rest = []
+    for x, y in out:
+        k = int(np.searchsorted(ends, x, "right"))
+        # a run that is a named value and little else is that value; one that holds more stays beside it
+        if k == len(ends) or values[k][0] >= y or x < named[k][0] - MIN_CHARS or y > ends[k]:
+            rest.append((x, y))
+    out = sorted({*rest, *values})
+    a, b = (np.array([s[k] for s in out], np.int64) for k in (0, 1))
+    return a, b
+
+
+def keys(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of these spans are candidates by themselves."""
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a, b)):
+        own = candidates(data[x:y], np.array([0, y - x]))
+        out[k] = len(own[0]) == 1 and own[1][0] - own[0][0] == y - x
+    return out
+
+
 def frames(data: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Frames of WIDTH characters that cover the candidates, which of their characters belong to them, and each frame's candidate.
 
@@ -147,8 +203,21 @@ _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _SYLLABLES = "the and ing tion er re on an en ed es or ti at is st le la de des que ou ment aux los ciones un el con ich ein der und ung heit che sch lich ra do na mi to é è ê ç ión ñ í ó ä ö ü ß zu ge".split()
 
 
-def findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """n labelled findings: a text, where its candidate begins and ends, and whether it is a secret."""
+_FILLERS = "required none null true false optional missing invalid expired here below yes no changed reset field value name unknown string default os.environ config.get".split()
+
+
+def _labelled(text: str, left: str, body: str, y: int) -> list[tuple[str, int, int, int]]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    a, b = proposals(data, np.array([0, len(data)]))
+    at = len(left.encode())
+    own = np.flatnonzero((a <= at) & (b >= at + len(body.encode()))) if y else np.flatnonzero((a <= at) & (b > at))
+    if len(own):
+        return [(text, int(a[own[-1]]), int(b[own[-1]]), y)]
+    return [(text, at, at, y)] if y else []
+
+
+def findings(n: int, seed: int = 11, named: bool = False) -> list[tuple[str, int, int, int]]:
+    """n labelled findings, of known formats or of named values of any characters: a text, where its candidate begins and ends, and whether it is a secret. A secret that no candidate covers has an empty one."""
     r = np.random.default_rng(seed)
     pick = lambda of: of[r.integers(len(of))]
     some = lambda of, k: "".join(of[j] for j in r.integers(0, len(of), k))
@@ -171,9 +240,36 @@ def findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
             lambda: word().capitalize() + word().capitalize() + word().capitalize() + "Handler" + word(), lambda: "+" + some("0123456789", 2) + "-" + some("0123456789", 9) + "x" + some("0123456789", 2), lambda: word().upper() + "_" + word().upper() + "_" + some("0123456789", 2),
         ])()
 
+    def password() -> str:
+        """Secrets of any characters and length, told by their name."""
+        symbol = lambda: some("!@#$%^&*?", 1)
+        return pick([
+            lambda: word().capitalize() + symbol() + some(_ALNUM, int(r.integers(2, 8))) + symbol() + some("0123456789", int(r.integers(1, 5))), lambda: some(_ALNUM + "!@#$%^&*?", int(r.integers(5, 20))), lambda: some(_ALNUM[26:], int(r.integers(3, 6))) + some("0123456789", int(r.integers(1, 3))),
+            lambda: some(_ALNUM[26:52], int(r.integers(12, 40))), lambda: some(_ALNUM[:52], int(r.integers(12, 40))), lambda: "-".join(word() for _ in range(int(r.integers(3, 6)))), lambda: "P@ssw0rd" + symbol() + some("0123456789", 4),
+        ])()
+
+    def filler() -> str:
+        """What stands after a key-like name and is no secret."""
+        return pick([lambda: pick(_FILLERS), lambda: "${" + word().upper() + "}", lambda: "<" + word() + ">", lambda: "*" * int(r.integers(3, 12))])()
+
+    def lengthy() -> str:
+        """Long letter-only runs that are no secrets."""
+        return pick([lambda: "/".join(word() for _ in range(6)), lambda: "_".join(word() for _ in range(6)), lambda: "-".join(word() for _ in range(6)), lambda: some(_SYLLABLES, 11), lambda: pick("-=._~") * 20 + word(), lambda: "www." + word() + word() + word() + word() + ".example.com/" + word()])()
+
     out = []
     while len(out) < n:
         y = int(r.random() < 0.5)
+        if named:
+            own = y or r.random() < 0.6
+            body = password() if y else filler() if own else lengthy()
+            name = pick(_NAMES) if own else pick(_PLAIN)
+            quote = pick(['"', '"', "'", ""])
+            sign = pick([" = ", ": ", " := ", '": ', "="]) if own else pick([" ", ": ", " ("])
+            name = name.upper() if r.random() < 0.15 else name
+            left = prose(int(r.integers(0, 8))) + pick([" ", "\n", " | ", "### "]) + name + sign + quote
+            text = left + body + quote + pick(["", " ", "\n", "; " if quote else " "]) + prose(int(r.integers(0, 8)))
+            out += _labelled(text, left, body, y)
+            continue
         body = secret() if y else other()
         bare = all(c in "0123456789abcdef-" for c in body)
         if y:
@@ -191,12 +287,7 @@ def findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
         left = prose(int(r.integers(0, 8))) + pick([" ", "\n", " | ", "### "]) + name + sign + quote
         right = quote + pick(["", " ", "\n", ".### ", "!! ", " | ", "; ", ", "]) + prose(int(r.integers(0, 8)))
         text = left + body + right
-        data = np.frombuffer(text.encode(), np.uint8)
-        a, b = candidates(data, np.array([0, len(data)]))
-        at = len(left.encode())
-        own = np.flatnonzero((a <= at) & (b > at))
-        if len(own):
-            out.append((text, int(a[own[0]]), int(b[own[0]]), y))
+        out += _labelled(text, left, body, y)
     return out
 
 
@@ -214,7 +305,7 @@ class Scanner:
     def __init__(self, rows: list[tuple[str, int, int, int]], recall: float = RECALL, epochs: int = EPOCHS, seed: int = 5):
         self.net = Network(seed)
         cut = len(rows) * 3 // 4
-        data, off, a, b, y = _packed(rows[:cut])
+        data, off, a, b, y = _packed([row for row in rows[:cut] if row[2] > row[1]])
         x, mine, of = frames(data, off, a, b)
         r = np.random.default_rng(seed)
         p = self.net.p
@@ -228,11 +319,15 @@ class Scanner:
                     m[name] = 0.9 * m[name] + 0.1 * g
                     v[name] = 0.999 * v[name] + 0.001 * g * g
                     p[name] -= 0.003 * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
-        data, off, a, b, y = _packed(rows[cut:])
+        found = [row for row in rows[cut:] if row[2] > row[1]]
+        missed = len(rows) - cut - len(found)
+        data, off, a, b, y = _packed(found)
         logit = self.net.logits(data, off, a, b)
         self.slope, self.offset = platt(logit, y)
         sure = self.probability(logit)
-        self.least = float(np.quantile(sure[y == 1], 1 - recall, method="lower"))
+        # a secret without a candidate is a miss; if they alone are too many, every other one must be found
+        every = np.quantile(np.concatenate([np.zeros(missed), sure[y == 1]]), 1 - recall, method="lower")
+        self.least = float(every or sure[y == 1].min())
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.clip(logit, -60, 60) + self.offset)))
@@ -257,25 +352,34 @@ def scan(docs: DataFrame, n_findings: int = FINDINGS, recall: float = RECALL) ->
     report doesn't repeat the secret. Null and empty texts have no findings,
     texts are read whole, repeated rows are each reported.
     """
-    scanner = Scanner(findings(n_findings), recall)
+    # keys of known formats and other named values are told by different signs and have a network and a threshold each
+    scanners = [Scanner(findings(n_findings, named=named), recall) for named in (False, True)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((scanner.net.p, scanner.slope, scanner.offset, scanner.least))
+    shared = docs.sparkSession.sparkContext.broadcast([(x.net.p, x.slope, x.offset, x.least) for x in scanners])
 
     def over(batches):
-        own = Scanner.__new__(Scanner)
-        own.net = Network.__new__(Network)
-        own.net.p, own.slope, own.offset, own.least = shared.value
+        both = []
+        for told in shared.value:
+            own = Scanner.__new__(Scanner)
+            own.net = Network.__new__(Network)
+            own.net.p, own.slope, own.offset, own.least = told
+            both.append(own)
         for whole in batches:
             for part in range(0, whole.num_rows, 1000):
                 batch = whole.slice(part, 1000)
                 data, off = raw_bytes(batch.column(1))
-                a, b = candidates(data, off)
-                sure = own.probability(own.net.logits(data, off, a, b)) if len(a) else np.zeros(0)
-                hit = np.flatnonzero(sure >= own.least)
+                a, b = proposals(data, off)
+                sure, found, key = np.zeros(len(a)), np.zeros(len(a), bool), keys(data, a, b)
+                for own, some in zip(both, (np.flatnonzero(key), np.flatnonzero(~key))):
+                    if len(some):
+                        sure[some] = own.probability(own.net.logits(data, off, a[some], b[some]))
+                        found[some] = sure[some] >= own.least
+                hit = np.flatnonzero(found)
                 if len(hit):
                     doc = np.searchsorted(off, a[hit], "right") - 1
                     begin = [len(data[off[d] : x].tobytes().decode(errors="ignore")) for d, x in zip(doc, a[hit])]
+                    size = [len(data[x:y].tobytes().decode(errors="ignore")) for x, y in zip(a[hit], b[hit])]
                     digest = [hashlib.sha256(data[x:y].tobytes()).hexdigest() for x, y in zip(a[hit], b[hit])]
-                    yield pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(begin, pa.int64()), pa.array((b - a)[hit]), pa.array(digest), pa.array(sure[hit])], ["doc_id", "begin", "n_chars", "digest", "probability"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(sure[hit])], ["doc_id", "begin", "n_chars", "digest", "probability"])
 
     return small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, begin bigint, n_chars bigint, digest string, probability double")

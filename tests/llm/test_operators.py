@@ -331,6 +331,28 @@ def test_secret_gradient():
             assert math.isclose((up - down) / 2e-5, g[name].reshape(-1)[k], rel_tol=2e-2, abs_tol=1e-6), (name, r)
 
 
+def test_proposals_hold_every_named_value():
+    cases = [('password = "P@ssw0rd!2024" x', "P@ssw0rd!2024"), ("pwd: a1!b", "a1!b"), ("db_password=hunter2", "hunter2"), ("passphrase: correct-horse-battery", "correct-horse-battery"), ("secret = 'two words é'", "two words é"), ("see qwertyuiopasdfghjklzxcvb now", "qwertyuiopasdfghjklzxcvb"), ('"api_key": "k"', "k")]
+    raw = [t.encode() for t, _ in cases]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    a, b = secret_scan.proposals(data, off)
+    spans = [(x - off[k], y - off[k]) for x, y in zip(a, b) for k in [np.searchsorted(off, x, "right") - 1]]
+    doc = np.searchsorted(off, a, "right") - 1
+    for k, (_, want) in enumerate(cases):
+        assert [raw[k][x:y].decode() for (x, y), d in zip(spans, doc) if d == k] == [want]
+    assert not len(secret_scan.proposals(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
+
+
+def test_secret_threshold_counts_misses():
+    rows = secret_scan.findings(1200, named=True)
+    missed = [(t, a, a, y) if y and i % 7 == 0 else (t, a, b, y) for i, (t, a, b, y) in enumerate(rows)]
+    scanner = secret_scan.Scanner(missed, recall=0.8, epochs=2)
+    cut = [x for x in missed[len(rows) * 3 // 4 :] if x[3]]
+    data, off, a, b, _ = secret_scan._packed([x for x in cut if x[2] > x[1]])
+    assert (scanner.probability(scanner.net.logits(data, off, a, b)) >= scanner.least).sum() >= 0.8 * len(cut)
+
+
 def test_secret_scan_odd(spark, odd, monkeypatch):
     monkeypatch.setattr(secret_scan, "FINDINGS", 1500)
     key = "9f8a3c5d7e1b2f4a6c8d0e9f8a3c5d7e1b2f4a6c"
