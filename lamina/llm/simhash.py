@@ -1,12 +1,15 @@
 """SimHash near-dedup with BK-trees.
 
 A document's fingerprint has 128 bits, the majority of its distinct words'
-hashes in each. Fingerprints are cut into blocks; two within the radius agree
-in one block up to radius // blocks bits (pigeonhole), so those that share a
-block's value form a shard, and a query visits the shards whose value is that
-near its own. Each shard is a BK-tree: children are keyed by their Hamming
-distance to the parent, and a search follows only the edges within the radius
-of the query's distance. The search is exact.
+hashes in each. Fingerprints are cut into radius + c blocks; two within the
+radius agree in c of them at least (pigeonhole), so those that share the
+values of c blocks form a shard, c being as many as keep shards small. A shard
+is sent once to the task that searches it, and only a shard of more than
+SHARD_ROWS fingerprints is cut into slices, each of which gets all the shard's
+queries. In its task a slice is a forest of BK-trees: children are keyed by
+their Hamming distance to the parent, and a search follows only the edges
+within the radius of the query's distance. The links found connect exactly
+what brute force would, whatever the number of shards and slices.
 """
 
 from __future__ import annotations
@@ -17,15 +20,25 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, hashed_tokens, in_batches, mix, partitions, small_batches, without_ids
+from .common import checkpointed, hashed_tokens, in_batches, mix, partitions, small_batches, without_ids
 
 BITS = 128
 RADIUS = 17
 #: Queries searched at once, which bounds a worker's memory.
 CHUNK = 4096
+#: Fingerprints in one task's trees, at most.
+SHARD_ROWS = 1 << 20
+#: Fingerprints of small shards that are searched at once.
+POOL_ROWS = 1 << 15
+#: Rows that a task holds before it sends them to their shards.
+FLUSH_ROWS = 1 << 21
+#: What sending a fingerprint to one more shard costs, in nodes visited.
+SEND_WORK = 300
+#: Bytes sent to one task of the search, about.
+TASK_BYTES = 64 << 20
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -56,15 +69,16 @@ def blocks(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def block_count(n: int, radius: int) -> int:
-    """The number of blocks with the least expected work for n fingerprints; any gives the same pairs."""
+def search_work(n: int, radius: int, m: int) -> float:
+    """The nodes that one query of n fingerprints in m blocks is expected to visit, and the trees that it looks for."""
+    near = radius // m
+    probes = [(sum(comb(w, k) for k in range(near + 1)), w) for _, w in blocks(m)]
+    return sum(p * (1 + 3 * n / 2.0**w) for p, w in probes)
 
-    def work(m: int) -> float:
-        near = radius // m
-        shards = [(sum(comb(w, k) for k in range(near + 1)), w) for _, w in blocks(m)]
-        return sum(p * (1 + 3 * n / 2.0**w) for p, w in shards)
 
-    return min((m for m in range(2, radius + 2) if max(w for _, w in blocks(m)) <= 40), key=work)
+def block_count(n: int, radius: int) -> int:
+    """The number of blocks with the least expected work for n fingerprints; any gives the same pairs."""
+    return min((m for m in range(2, radius + 2) if max(w for _, w in blocks(m)) <= 40), key=lambda m: search_work(n, radius, m))
 
 
 def block_values(fps: np.ndarray, first: int, width: int) -> np.ndarray:
@@ -113,14 +127,20 @@ class ShardTrees:
         self.child, self.edge = c[by], d[by].astype(np.int16)
         self.ptr = np.searchsorted(p[by], np.arange(n + 1))
 
-    def search(self, shard: np.ndarray, query: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) within the radius; query[i] is to be looked for in the tree of shard[i]."""
+    def search(self, shard: np.ndarray, query: np.ndarray, fps: np.ndarray, radius: int, linking: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, node) within the radius; query[i] is to be looked for in the tree of shard[i].
+
+        With linking, not all pairs but such as connect the same: what hangs
+        on a near node by an edge within the radius is near to that node, and
+        its own query tells so. A crowd of near copies costs each of them one
+        path instead of one pair with each other.
+        """
         at = np.searchsorted(self.values, shard)
         at[at == len(self.values)] = 0
         hit = self.values[at] == shard if len(self.values) else np.zeros(len(shard), bool)
-        return self.descend(query[hit], self.roots[at[hit]], fps, radius)
+        return self.descend(query[hit], self.roots[at[hit]], fps, radius, linking)
 
-    def descend(self, query: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def descend(self, query: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int, linking: bool = False) -> tuple[np.ndarray, np.ndarray]:
         found = []
         while len(query):
             d = hamming(fps[query], self.fps[node])
@@ -132,6 +152,8 @@ class ShardTrees:
             which = np.repeat(np.arange(len(query)), n)
             k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + a[which]
             follow = np.abs(self.edge[k] - d[which]) <= radius
+            if linking:
+                follow &= (self.edge[k] > radius) | (d[which] > radius)
             query, node = query[which[follow]], self.child[k[follow]]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -168,154 +190,289 @@ def _two_words(hi, lo) -> np.ndarray:
     return out
 
 
-def near_edges(reps: DataFrame, radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Edges (a, b), a > b, that connect the fingerprints (id, hi, lo) within the radius of each other; ids are distinct.
+_ROW = np.dtype([("id", "<i8"), ("lo", "<u8"), ("hi", "<u8")])
 
-    The shards' trees are broadcast if the fingerprints take at most
-    broadcast_bytes; beyond that fingerprints and queries are shuffled to
-    their shards. Both give the same connections.
-    """
-    n = reps.count()
-    m = block_count(n, radius)
-    near = radius // m
-    if n * 24 <= broadcast_bytes:
-        return _broadcast_edges(reps, radius, m, near)
-    return _shuffled_edges(reps, radius, m, near)
 
+def agreeing(n: int, radius: int, shard_rows: int) -> int:
+    """How many blocks a shard agrees in, by the least expected work for n fingerprints: the copies of each, times the slices of a shard, times what sending and searching one costs."""
 
-def _broadcast_edges(reps: DataFrame, radius: int, m: int, near: int) -> DataFrame:
+    def work(c: int) -> float:
+        size = n / 2.0 ** sum(sorted(w for _, w in blocks(radius + c))[:c])
+        inside = int(min(size, shard_rows))
+        return comb(radius + c, c) * -(-size // shard_rows) * (SEND_WORK + search_work(inside, radius, block_count(inside, radius)))
+
+    return min((1, 2, 3), key=work)
+
+
+def shards(fps: np.ndarray, radius: int, c: int) -> np.ndarray:
+    """The shards of each fingerprint, a column for each choice of c of radius + c blocks."""
+    cuts = blocks(radius + c)
+    values = [block_values(fps, *b) for b in cuts]
+    out = []
+    for k, chosen in enumerate(combinations(range(len(cuts)), c)):
+        key = np.full(len(fps), k, np.uint64)
+        for b in chosen:
+            key = key << np.uint64(cuts[b][1]) | values[b]
+        out.append(key.view(np.int64))
+    return np.stack(out, 1)
+
+
+class Searcher:
+    """The trees of some fingerprints, which are in groups that don't meet, in the blocks whose work is least for the groups' size."""
+
+    def __init__(self, fps: np.ndarray, group: np.ndarray, radius: int):
+        self.radius = radius
+        sizes = np.bincount(group)
+        m = block_count(int((sizes.astype(float) ** 2).sum() / max(len(fps), 1)), radius)
+        self.parts = []
+        for first, width in blocks(m):
+            tree = ShardTrees(group.astype(np.uint64) << np.uint64(width) | block_values(fps, first, width), fps)
+            root = None
+            if len(sizes) << width <= 1 << 22:
+                root = np.full(len(sizes) << width, -1, np.int32)
+                root[tree.values.astype(np.int64)] = tree.roots
+            self.parts.append((first, width, tree, root, masks(width, radius // m)))
+
+    def links(self, queries: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (query, node) of links that connect each query to all of its group that is within the radius of it."""
+        left, right = [], []
+        for first, width, tree, root, flips in self.parts:
+            step = max(1, (CHUNK << 8) // len(flips))
+            for k in range(0, len(queries), step):
+                values = group[k : k + step].astype(np.uint64) << np.uint64(width) | block_values(queries[k : k + step], first, width)
+                query = np.repeat(np.arange(k, k + len(values)), len(flips))
+                probe = (values[:, None] ^ flips[None, :]).ravel()
+                if root is None:
+                    q, node = tree.search(probe, query, queries, self.radius, linking=True)
+                else:
+                    start = root[probe.astype(np.int64)]
+                    hit = start >= 0
+                    q, node = tree.descend(query[hit], start[hit].astype(np.int64), queries, self.radius, linking=True)
+                left.append(q)
+                right.append(node)
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _blobs(names: list[np.ndarray], rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    size = rows.dtype.itemsize
+    offsets = pa.py_buffer((cuts * size).astype(np.int32).tobytes())
+    blobs = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(rows.tobytes())])
+    shard, piece, query = names
+    return pa.record_batch([pa.array(shard), pa.array(piece), pa.array(query), blobs], ["shard", "slice", "query", "blob"])
+
+
+def near_edges(reps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Edges (a, b), a != b, that connect the fingerprints (id, hi, lo) within the radius of each other; ids and fingerprints are distinct.
+
+    A fingerprint is sent once to each of its shards, of which there are 18
+    for up to about a billion fingerprints, and to all slices of a shard that
+    has more than shard_rows. The number of tasks follows from what is sent.
+    """
     spark = reps.sparkSession
-    table = reps.toArrow().combine_chunks()
-    ids = table["id"].to_numpy()
-    fps = _two_words(table["hi"].combine_chunks(), table["lo"].combine_chunks()) if len(ids) else np.zeros((0, 2), np.uint64)
-    trees = spark.sparkContext.broadcast((ids, [ShardTrees(block_values(fps, *b), fps) for b in blocks(m)]))
+    n = reps.count()
+    c = agreeing(n, radius, shard_rows)
+    copies = comb(radius + c, c)
 
-    def over(batches):
+    def sized(batches):
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            mine = _two_words(batch.column(1), batch.column(2))
-            names, shards = trees.value
-            left, right = [], []
-            for (first, width), tree in zip(blocks(m), shards):
-                flips = masks(width, near)
-                root = None
-                if width <= 24:
-                    root = np.full(1 << width, -1, np.int32)
-                    root[tree.values.astype(np.int64)] = tree.roots
-                step = max(1, (CHUNK << 8) // len(flips))
-                for k in range(0, len(own), step):
-                    values = block_values(mine[k : k + step], first, width)
-                    query = np.repeat(np.arange(k, k + len(values)), len(flips))
-                    probe = (values[:, None] ^ flips[None, :]).ravel()
-                    if root is None:
-                        q, node = tree.search(probe, query, mine, radius)
-                    else:
-                        start = root[probe.astype(np.int64)]
-                        hit = start >= 0
-                        q, node = tree.descend(query[hit], start[hit].astype(np.int64), mine, radius)
-                    other = own[q] != names[node]
-                    left.append(own[q[other]])
-                    right.append(names[node[other]])
-            a, b = forest(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return reps.repartition(partitions(spark), "id").mapInArrow(over, "a bigint, b bigint")
-
-
-def _shuffled_edges(reps: DataFrame, radius: int, m: int, near: int) -> DataFrame:
-    def copies(batch):
-        fps = _two_words(batch.column(1), batch.column(2))
-        ids = batch.column(0).to_numpy()
-        out = []
-        for k, (first, width) in enumerate(blocks(m)):
-            flips = masks(width, near)
-            values = (block_values(fps, first, width)[:, None] ^ flips[None, :]) | np.uint64(k << 48)
-            row = np.repeat(np.arange(len(ids)), len(flips))
-            out.append((values.ravel().view(np.int64), row, np.tile(np.arange(len(flips)) == 0, len(ids))))
-        shard, row, node = (np.concatenate(x) for x in zip(*out))
-        take = pa.array(row)
-        return pa.record_batch([pa.array(shard), pa.array(node), pa.array(ids[row]), batch.column(1).take(take), batch.column(2).take(take)], ["shard", "node", "id", "hi", "lo"])
+            if batch.num_rows:
+                shard, n = np.unique(shards(_two_words(batch.column(1), batch.column(2)), radius, c), return_counts=True)
+                yield pa.record_batch([pa.array(shard), pa.array(n)], ["shard", "n"])
+
+    # only shards that skewed fingerprints make larger than expected: fewer than 2 * copies * n / shard_rows
+    crowded = reps.mapInArrow(sized, "shard bigint, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows).collect() if n > shard_rows else []
+    crowd = np.array(sorted((r.shard, -(-r.n // shard_rows)) for r in crowded), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast(crowd)
+
+    def send(batches):
+        names, slices = shared.value[:, 0], shared.value[:, 1]
+
+        def packed(held):
+            rows = np.concatenate(held)
+            fps = np.stack([rows["lo"], rows["hi"]], 1)
+            shard = shards(fps, radius, c).ravel()
+            row = np.repeat(np.arange(len(rows)), copies)
+            at = np.minimum(np.searchsorted(names, shard), max(len(names) - 1, 0))
+            pieces = np.where(names[at] == shard, slices[at], 1) if len(names) else np.ones(len(shard), np.int64)
+            if pieces.sum() > 2 * FLUSH_ROWS and len(rows) > 1:
+                yield from packed([rows[: len(rows) // 2]])
+                yield from packed([rows[len(rows) // 2 :]])
+                return
+            own = (mix(rows["lo"] ^ rows["hi"])[row] % pieces.astype(np.uint64)).astype(np.int64)
+            if len(names):
+                many = np.repeat(np.arange(len(shard)), pieces)
+                piece = np.arange(len(many)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                shard, row, query = shard[many], row[many], piece != own[many]
+            else:
+                piece, query = own, np.zeros(len(own), bool)
+            order = np.lexsort((query, piece, shard)) if len(names) else np.argsort(shard, kind="stable")
+            shard, piece, query = shard[order], piece[order], query[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1]) | (query[1:] != query[:-1])
+            heads = np.flatnonzero(new)
+            yield _blobs([shard[heads], piece[heads].astype(np.int32), query[heads]], rows[row[order]], np.append(heads, len(order)))
 
-    def search(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        shard = table["shard"].to_numpy().view(np.uint64)
-        ids, node = table["id"].to_numpy(), table["node"].to_numpy()
-        fps = _two_words(table["hi"].combine_chunks(), table["lo"].combine_chunks())
-        trees = ShardTrees(shard[node], fps[node])
-        names = ids[node]
-        left, right = [], []
-        for k in range(0, len(ids), CHUNK << 6):
-            query = np.arange(k, min(len(ids), k + (CHUNK << 6)))
-            q, at = trees.search(shard[query], query, fps, radius)
-            other = ids[q] != names[at]
-            left.append(ids[q[other]])
-            right.append(names[at[other]])
-        a, b = forest(np.concatenate(left), np.concatenate(right))
-        if len(a):
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        held, size = [], 0
+        for batch in batches:
+            rows = np.empty(batch.num_rows, _ROW)
+            fps = _two_words(batch.column(1), batch.column(2))
+            rows["id"], rows["lo"], rows["hi"] = batch.column(0).to_numpy(), fps[:, 0], fps[:, 1]
+            held.append(rows)
+            size += len(rows) * copies
+            if size > FLUSH_ROWS:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
 
-    rows = reps.mapInArrow(in_batches(copies), "shard bigint, node boolean, id bigint, hi bigint, lo bigint")
-    return rows.repartition(partitions(reps.sparkSession), "shard").mapInArrow(search, "a bigint, b bigint")
+    def search(batches):
+        key, held, size, trees, ids, left, right, found = None, [], 0, None, None, [], [], 0
+
+        def looked(rows, group):
+            nonlocal found
+            for k in range(0, len(rows), CHUNK << 4):
+                own = rows[k : k + (CHUNK << 4)]
+                q, node = trees.links(np.stack([own["lo"], own["hi"]], 1), group[k : k + (CHUNK << 4)])
+                a, b = own["id"][q], ids[node]
+                a, b = forest(a[a != b], b[a != b])
+                left.append(a)
+                right.append(b)
+                found += len(a)
+
+        def planted():
+            """Trees of the slices that are held, which are searched by their own fingerprints."""
+            nonlocal trees, ids, held, size
+            rows = np.concatenate([r for part in held for r in part])
+            group = np.repeat(np.arange(len(held)), [sum(map(len, part)) for part in held])
+            held, size, ids = [], 0, rows["id"]
+            trees = Searcher(np.stack([rows["lo"], rows["hi"]], 1), group, radius)
+            looked(rows, group)
+
+        def told():
+            nonlocal left, right, found
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            left, right, found = [], [], 0
+            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+        last = 0  # the number among the trees of the slice that queries are for
+        for batch in batches:
+            for shard, piece, query, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                rows = np.frombuffer(blob.as_buffer(), _ROW)
+                if (shard, piece) != key:
+                    if size > POOL_ROWS:
+                        planted()
+                    elif not size:
+                        held = []
+                    key, trees = (shard, piece), None
+                    held.append([])
+                if not query:
+                    held[-1].append(rows)
+                    size += len(rows)
+                    continue
+                if trees is None and held and held[-1]:
+                    last = len(held) - 1
+                    planted()
+                if trees is not None:  # else the slice got no fingerprints of its own
+                    looked(rows, np.full(len(rows), last))
+                if found > FLUSH_ROWS:
+                    yield told()
+            if found > FLUSH_ROWS:
+                yield told()
+        if size:
+            planted()
+        if found:
+            yield told()
+
+    parts = max(partitions(spark), n * copies * _ROW.itemsize // TASK_BYTES)
+    sent = reps.mapInArrow(send, "shard bigint, slice int, query boolean, blob binary")
+    return sent.repartition(parts, "shard", "slice").sortWithinPartitions("shard", "slice", "query").mapInArrow(search, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of the edges (a, b) that isn't the least of its component; root is the least.
 
     Large-star and small-star steps alternate until nothing changes; each
-    round is kept in the shared folder.
+    round is kept in the shared folder. Least neighbours are aggregates, which
+    are combined before the shuffle, so a hub's edges never meet in one task.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     state = None
     while True:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", low.alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = F.min("b").over(Window.partitionBy("a"))
-        small = large.select("a", "b", least.alias("m"))
-        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).distinct()
-        e = checkpointed(small)
+        low = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = checkpointed(e.join(low, e["b"] == low["u"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        both = large.join(low, large["a"] == low["u"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = checkpointed(both.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (r.n, r.h) == state:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
         state = (r.n, r.h)
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, root) of every document with a doc_id and a text: root is the least doc_id of its group of near copies.
+def classes(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every doc_id with a text, (doc_id, hi, lo), and each fingerprint's group: hi, lo, root, least (doc_id) and n (documents; one of several fingerprints is counted once).
 
-    Groups are connected: a near copy of a near copy belongs. Equal texts
-    have equal fingerprints; texts without words are near only to equal ones.
+    Equal texts have one fingerprint, so however many copies there are, what
+    is searched and connected is one row.
     """
-    cols = small_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cols = small_batches(docs).where("doc_id is not null and text is not null").select("doc_id", "text")
 
     def over(batch):
         fps = fingerprints(batch.column(1))
-        return pa.record_batch([batch.column(0), pa.array(fps[:, 1].view(np.int64)), pa.array(fps[:, 0].view(np.int64))], ["id", "hi", "lo"])
+        return pa.record_batch([batch.column(0), pa.array(fps[:, 1].view(np.int64)), pa.array(fps[:, 0].view(np.int64))], ["doc_id", "hi", "lo"])
+
+    each = checkpointed(cols.mapInArrow(in_batches(over), f"doc_id {kind}, hi bigint, lo bigint"))
+    spread = [f(c).alias(f"{n}_{c}") for c in ("hi", "lo") for n, f in (("least", F.min), ("most", F.max))]
+    per = checkpointed(each.groupBy("doc_id").agg(*spread))
+    one = "least_hi = most_hi and least_lo = most_lo"
+    rows = per.where(one).select("doc_id", F.col("least_hi").alias("hi"), F.col("least_lo").alias("lo"), F.lit(1).alias("n"))
+    several = checkpointed(each.join(per.where(f"not ({one})").select("doc_id"), "doc_id", "left_semi").distinct())
+    mixed = not several.isEmpty()
+    if mixed:
+        main = several.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("f")).select("doc_id", "f.hi", "f.lo", F.lit(1).alias("n"))
+        rows = rows.unionAll(several.select("doc_id", "hi", "lo", F.lit(0).alias("n"))).unionAll(main)
+    reps = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.sum("n").alias("n"))
+    reps = checkpointed(reps.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "least", "n"))
+    edges = near_edges(reps.select("id", "hi", "lo"), radius, shard_rows)
+    if mixed:  # a doc_id on several rows joins their groups, as an edge does
+        named = several.join(reps, ["hi", "lo"]).select("doc_id", "id")
+        edges = edges.unionAll(named.join(named.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    near = reps.join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rows.select("doc_id", "hi", "lo"), near.select("hi", "lo", "root", "least", "n")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, root) of every document with a doc_id and a text: root is the least doc_id of its group of near copies.
+
+    Groups are connected: a near copy of a near copy belongs. Equal texts
+    have equal fingerprints; texts without words are near only to equal ones.
+    doc_ids are of any type that has an order.
+    """
+    rows, near = classes(docs, radius, shard_rows)
+    least = near.groupBy("root").agg(F.min("least").alias("least"))
+    names = near.select("hi", "lo", "root").join(least, "root").select("hi", "lo", "least")
+    return rows.join(names, ["hi", "lo"]).select("doc_id", F.col("least").alias("root")).distinct()
 
-    each = checkpointed(cols.mapInArrow(in_batches(over), "id bigint, hi bigint, lo bigint"))
-    # a doc_id on several rows joins their groups, as an edge does
-    first = checkpointed(each.select("id", F.min("id").over(Window.partitionBy("hi", "lo")).alias("rep"), "hi", "lo"))
-    reps = checkpointed(first.groupBy("hi", "lo").agg(F.min("rep").alias("rep")).groupBy("rep").agg(F.collect_set(F.struct("hi", "lo")).alias("f")).select(F.col("rep").alias("id"), F.explode("f").alias("f")).select("id", "f.hi", "f.lo"))
-    same = first.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = components(near_edges(reps, radius, broadcast_bytes).unionAll(same))
-    ids = each.select("id").distinct()
-    return ids.join(roots, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("root"))
 
+def kept(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id of the document that stays of each group, the least, and n_docs, the documents in the group.
 
-def kept(docs: DataFrame) -> DataFrame:
-    """doc_id of the document that stays of each group, the least, and n_docs, the documents in the group."""
-    return grouped(docs).groupBy(F.col("root").alias("doc_id")).agg(F.count("*").alias("n_docs"))
+    Null texts and doc_ids are in no group; rows that share a doc_id are one
+    document. Other columns are ignored; an empty table has no groups.
+    """
+    near = classes(docs, radius, shard_rows)[1]
+    return near.groupBy("root").agg(F.min("least").alias("doc_id"), F.sum("n").alias("n_docs")).select("doc_id", "n_docs")
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of docs less near copies: of each group the document with the least doc_id stays.
 
     A null text or doc_id stays. Rows that share a doc_id are one document
-    and stay or go together. Other columns pass through.
+    and stay or go together. Other columns pass through whatever their names;
+    very long texts are read whole.
     """
-    gone = grouped(docs, radius).where("doc_id != root").select("doc_id")
+    rows, near = classes(docs, radius, shard_rows)
+    stay = near.groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id")
+    gone = rows.select("doc_id").join(stay, "doc_id", "left_anti").distinct()
     return without_ids(docs, checkpointed(gone))

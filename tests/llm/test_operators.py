@@ -112,9 +112,48 @@ def test_simhash_pairs_are_exact(spark):
                 if root.setdefault(j, i) == i:
                     todo += [k for k in near[j] if k not in root]
     assert len(set(root.values())) < 150
-    for limit in (1 << 25, 0):
-        got = {x.doc_id: x.root for x in simhash.grouped(docs, broadcast_bytes=limit).collect()}
+    for limit in (simhash.SHARD_ROWS, 7):
+        got = {x.doc_id: x.root for x in simhash.grouped(docs, shard_rows=limit).collect()}
         assert got == root
+    named = docs.withColumn("doc_id", simhash.F.concat(simhash.F.lit("d"), simhash.F.lpad("doc_id", 4, "0")))
+    name = lambda i: f"d{i:04}"
+    assert {x.doc_id: x.root for x in simhash.grouped(named).collect()} == {name(i): name(r) for i, r in root.items()}
+    assert {x.doc_id for x in simhash.dedup(named).collect()} == {name(r) for r in root.values()}
+
+
+def test_simhash_sends_few_rows_at_any_size():
+    for n, copies in ((10, 18), (10_000, 18), (15_000_000, 18), (1_000_000_000, 171), (50_000_000_000, 1140)):
+        c = simhash.agreeing(n, simhash.RADIUS, simhash.SHARD_ROWS)
+        size = n / 2.0 ** sum(sorted(w for _, w in simhash.blocks(simhash.RADIUS + c))[:c])
+        assert math.comb(simhash.RADIUS + c, c) * -(-size // simhash.SHARD_ROWS) <= copies
+
+
+def test_simhash_shards_leave_no_pair_out():
+    r = np.random.default_rng(8)
+    a = r.integers(0, 1 << 63, (100, 2)).astype(np.uint64)
+    b = a.copy()
+    for i in range(100):
+        for bit in r.choice(128, simhash.RADIUS, replace=False):
+            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    for c in (1, 2, 3):
+        assert (simhash.shards(a, simhash.RADIUS, c) == simhash.shards(b, simhash.RADIUS, c)).any(1).all()
+
+
+def test_simhash_crowd_of_near_copies(spark):
+    """A third of all fingerprints are within a few bits of one: each costs a path, not a pair with each other."""
+    r = np.random.default_rng(9)
+    fps = r.integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
+    for i in range(1000):
+        fps[i] = fps[0]
+        for bit in r.choice(128, 6, replace=False):
+            fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = [(i, int(hi), int(lo)) for i, (lo, hi) in enumerate(fps.view(np.int64).tolist())]
+    reps = spark.createDataFrame(rows, "id long, hi long, lo long").dropDuplicates(["hi", "lo"])
+    for limit in (simhash.SHARD_ROWS, 50):
+        edges = simhash.near_edges(reps, shard_rows=limit)
+        found = edges.collect()
+        assert len(found) < 40 * 3000 and all(x.a < 1000 and x.b < 1000 for x in found)
+        assert len({x.id for x in simhash.components(edges).collect()}) == reps.where("id < 1000").count() - 1
 
 
 def test_bk_tree_search_is_exact():
