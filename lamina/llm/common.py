@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -48,6 +49,15 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
+def saved(path: str, array: np.ndarray) -> None:
+    """The array in a file, whole or not at all: a task that runs twice leaves the same file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    tmp = f"{path}.{uuid.uuid4().hex}"
+    with open(tmp, "wb") as f:
+        np.save(f, array)
+    os.replace(tmp, path)
+
+
 def scratch_table(df: DataFrame, kind: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
