@@ -22,7 +22,7 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
 #: That part must also be over one half by so many standard errors (Wilson's lower bound), as many combinations are tried.
 STANDARD_ERRORS = 2.5
-#: Words that make a host bad by themselves, as public block lists have them.
+#: Words that public block lists have for hosts: an example of seeds, which nothing uses unless asked to.
 SEEDS = ("casino", "bets", "adult", "porn", "pills", "viagra", "spam", "ads", "malware", "phish", "warez")
 _BAD = "!bad"
 
@@ -42,18 +42,22 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(scheme, "s:"), words(host, "h:"), words(tail, "p:"), words(query, "q:")))
 
 
-def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> DataFrame:
     """(url, bad) of the pages whose document is labelled; the URL's path names the document.
 
-    A page is bad if its document is of low quality or toxic, or if its host
-    holds a word of SEEDS: hosts say more than single documents do.
+    A page is bad if its document is of low quality or toxic, and if its host
+    holds one of the seeds, should any be given. Null URLs and doc_ids and
+    labels that say nothing are left out; contradicting labels count as bad;
+    repeated pages count as often as they are there. URLs are read whole,
+    however long; other columns are ignored, whatever their names.
     """
     path = F.regexp_replace(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
     named = F.regexp_extract(path, r"/(\d{1,18})(?:[/.?#]|$)", 1)
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad_doc"))
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("bad_doc"))
     urls = pages.where("url is not null").select("url", F.when(named != "", named.cast("long")).alias("doc_id"))
-    seeded = F.exists(tokens(F.col("url")), lambda t: t.isin([f"h:{w}" for w in SEEDS]))
-    return urls.join(known, "doc_id").select("url", ((F.col("bad_doc") == 1) | seeded).alias("bad"))
+    seeded = F.exists(tokens(F.col("url")), lambda t: t.isin([f"h:{w}" for w in seeds])) if seeds else F.lit(False)
+    return urls.join(known, "doc_id").select("url", (F.col("bad_doc") | seeded).alias("bad"))
 
 
 def mined(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float, float]]:
@@ -125,9 +129,10 @@ def pruned(rules: list[tuple[list[str], float, float]]) -> list[tuple[list[str],
 
 
 def matched(pages: DataFrame, rules: list[tuple[list[str], float, float]]) -> DataFrame:
-    """(page_id, url, n_rules, confidence, rule) of each page that a rule matches; rule is the most confident.
+    """(page_id, url, n_rules, confidence, rule) of each page that a rule matches; rule is the most confident, of equals the shortest, then the first.
 
-    Repeated rows are reported once. A null or empty URL matches nothing.
+    Repeated rows are reported once. A null or empty URL matches nothing; URLs
+    are read whole. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     urls = pages.where("url is not null").select("page_id", "url", tokens(F.col("url")).alias("items"))
@@ -147,6 +152,9 @@ def matched(pages: DataFrame, rules: list[tuple[list[str], float, float]]) -> Da
     )
 
 
-def blocked(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """matched pages under the rules mined from the labels."""
-    return matched(pages, mined(labelled(pages, labels)))
+def blocked(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> DataFrame:
+    """matched pages under the rules mined from the labels, and from the seeds, should any be given.
+
+    If the labels bear out no rule, no page is blocked.
+    """
+    return matched(pages, mined(labelled(pages, labels, seeds)))
