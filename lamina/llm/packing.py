@@ -2,21 +2,26 @@
 
 Only the counts of pieces by length reach the driver. Best-fit decreasing over
 these counts gives ranges of ranks and the bins that they fill; documents then
-take their slots by a join on length and rank.
+take their slots by length and rank. A piece's rank is its place among those of
+its length in its own partition, after those of the partitions before, so
+ranking needs no shuffle and a common length is no task's alone. The plan and
+the partitions' counts lie in the shared folder, where tasks look up their own.
 """
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, partitions, saved, scratch
 
 CAPACITY = 2048
-#: Ranks are counted in so many parts of each length, so that a common length isn't one task.
-PARTS = 64
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -74,47 +79,79 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
+def cut(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and length of each piece of documents of n tokens: full bins first, then what is left."""
+    count = -(-n // capacity)
+    row = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, piece, np.minimum(n[row] - piece * capacity, capacity)
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Slots of all documents in bins of capacity tokens: doc_id, piece, n_tokens, bin_id, bin_offset.
 
     A token is a run of non-space characters. A document longer than a bin is
     cut into full bins, which are its own, and a last piece, which is packed.
-    Null and empty texts have no tokens and take no slot. Repeated rows take a
-    slot each; rows of equal length take slots in the order of doc_id, nulls
-    first. Other columns are ignored.
+    Null and empty texts have no tokens and take no slot. Repeated rows and
+    rows without a doc_id take slots like any other; which of the pieces of
+    one length takes which of their slots is open. doc_ids are of any type,
+    other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     spark = docs.sparkSession
-    n = F.regexp_count(F.col("text"), F.lit(r"\S+"))
+    path = scratch(spark, "packing")
+    n = F.regexp_count(F.col("text"), F.lit(r"\S+")).cast("long")
     sized = checkpointed(docs.select("doc_id", n.alias("n")).where("n > 0"))
-    tail = sized.select("doc_id", (F.col("n") / capacity).cast("long").alias("piece"), (F.col("n") % capacity).alias("n_tokens")).where("n_tokens > 0")
-    tail = tail.withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(PARTS)))
-    parts = checkpointed(tail.groupBy("n_tokens", "part").count())
-    counts = {r.n_tokens: r.n for r in parts.groupBy("n_tokens").agg(F.sum("count").alias("n")).collect()}
-    slots = plan(counts, capacity)
-    own = max((r[3] + -(-r[2] // r[4]) for r in slots), default=0)  # bins of full pieces come after the planned ones
-    starts = parts.select("n_tokens", "part", (F.sum("count").over(Window.partitionBy("n_tokens").orderBy("part")) - F.col("count")).alias("before"))
-    ranked = (
-        tail.withColumn("k", F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(starts), ["n_tokens", "part"])
-        .select("doc_id", "piece", "n_tokens", (F.col("k") + F.col("before")).alias("rank"))
-    )
-    # the plan has no more rows than there are pairs of lengths and rooms: it is bounded by capacity
-    table = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], "n_tokens int, first long, ranks long, bin long, each long, at long")
-    packed = ranked.join(F.broadcast(table), (ranked["n_tokens"] == table["n_tokens"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks"))).select(
-        "doc_id",
-        "piece",
-        ranked["n_tokens"].cast("long").alias("n_tokens"),
-        (F.col("bin") + ((F.col("rank") - F.col("first")) / F.col("each")).cast("long")).alias("bin_id"),
-        (F.col("at") + (F.col("rank") - F.col("first")) % F.col("each") * ranked["n_tokens"]).alias("bin_offset"),
-    )
-    long = sized.where(F.col("n") >= capacity)
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") / capacity).cast("long") - 1))
-    whole = long.select("doc_id", chunk.alias("piece"))
-    spare = Window.partitionBy("part").orderBy("doc_id", "piece")
-    whole = whole.withColumn("part", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(PARTS)))
-    heads = whole.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")
-    whole = whole.withColumn("k", F.row_number().over(spare) - 1).join(F.broadcast(heads), "part")
-    whole = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("n_tokens"), (F.lit(own) + F.col("before") + F.col("k")).alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    return packed.unionByName(whole)
+
+    def counted(batches):
+        total = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(cut(batch.column(1).to_numpy(), capacity)[2], minlength=capacity + 1)
+        some = np.flatnonzero(total)
+        part = np.full(len(some), TaskContext.get().partitionId(), np.int32)
+        yield pa.record_batch([pa.array(part), pa.array(some), pa.array(total[some])], ["part", "n_tokens", "n"])
+
+    def before(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            table = pa.Table.from_batches(rows).to_pandas()
+            for part, own in table.groupby("part"):
+                saved(f"{path}/{part}.npy", own[["n_tokens", "before"]].to_numpy(np.int64))
+            yield pa.record_batch([pa.array([len(table)])], ["n"])
+
+    parts = checkpointed(sized.mapInArrow(counted, "part int, n_tokens bigint, n bigint"))
+    counts = {r.n_tokens: r.n for r in parts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
+    starts = parts.select("part", "n_tokens", (F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part")) - F.col("n")).alias("before"))
+    starts.repartition(partitions(spark), "part").mapInArrow(before, "n bigint").agg(F.sum("n")).collect()
+    # full pieces are planned too: each has a bin to itself
+    slots = np.array(plan(counts, capacity), np.int64).reshape(-1, 6)
+    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    saved(f"{path}/plan.npy", slots)
+
+    def placed(batches):
+        mine = f"{path}/{TaskContext.get().partitionId()}.npy"
+        if not os.path.exists(mine):
+            return
+        slots = np.load(f"{path}/plan.npy", mmap_mode="r")
+        length, first = np.ascontiguousarray(slots[:, 0]), np.ascontiguousarray(slots[:, 1])
+        heads = np.searchsorted(length, np.arange(capacity + 2))
+        rank = np.zeros(capacity + 1, np.int64)
+        own = np.load(mine)
+        rank[own[:, 0]] = own[:, 1]
+        for batch in batches:
+            row, piece, size = cut(batch.column(1).to_numpy(), capacity)
+            by = np.argsort(size, kind="stable")
+            sizes, at, n = np.unique(size[by], return_index=True, return_counts=True)
+            bins, offsets = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+            for s, a, k in zip(sizes, at, n):
+                ranks = rank[s] + np.arange(k)
+                rank[s] += k
+                slot = slots[heads[s] + np.searchsorted(first[heads[s] : heads[s + 1]], ranks, "right") - 1]
+                within = ranks - slot[:, 1]
+                bins[by[a : a + k]] = slot[:, 3] + within // slot[:, 4]
+                offsets[by[a : a + k]] = slot[:, 5] + within % slot[:, 4] * s
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(piece), pa.array(size), pa.array(bins), pa.array(offsets)], ["doc_id", "piece", "n_tokens", "bin_id", "bin_offset"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return sized.mapInArrow(placed, f"doc_id {kind}, piece bigint, n_tokens bigint, bin_id bigint, bin_offset bigint")
