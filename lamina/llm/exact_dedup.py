@@ -1,11 +1,17 @@
 """Exact dedup by content sort.
 
+Copies that lie near each other in the input are combined before the exchange.
 Sampled splitters range-partition the normalised texts, Spark's external sort
 places equal ones next to each other, and neighbours are compared in full.
+A range that holds more than its share, as its texts begin alike for longer
+than the splitters, is divided further by a hash of the whole text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +22,10 @@ from .common import fresh, partitions, small_batches
 
 #: Sampled texts for each partition of the sort.
 SAMPLES_PER_PARTITION = 20
-#: Characters that the driver sees of all sampled texts together, and of one: common beginnings that are longer only make partitions uneven.
+#: Characters that the driver sees of all sampled texts together, and of one: ranges of longer common beginnings are divided by a hash.
 SAMPLE_TOTAL, SAMPLE_CHARS = 16 << 20, 4096
+#: Rows and bytes among which a task combines copies before the exchange.
+COMBINE_ROWS, COMBINE_BYTES = 10_000, 32 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -53,16 +61,62 @@ def slot(key: Column, cuts: list[str]) -> Column:
     return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at(table, at + half) <= key, at + half).otherwise(at))
 
 
-def sorted_by_content(docs: DataFrame, key: str) -> DataFrame:
-    """docs range-partitioned by key and sorted by it, then by doc_id with nulls last."""
-    spark = small_batches(docs).sparkSession
+def shares(sample: list[tuple[str, int]], cuts: list[str], n: int) -> list[int]:
+    """For each range between the cuts, how many of n even parts the sampled (text, length) in it make, one at least."""
+    bounds = [c.encode() for c in cuts]
+    weight = np.zeros(len(cuts) + 1)
+    for text, size in sample:
+        weight[bisect_right(bounds, text.encode())] += size
+    return np.maximum(1, np.round(weight * n / max(weight.sum(), 1))).astype(int).tolist()
+
+
+def sorted_by_content(rows: DataFrame, docs: DataFrame, content: Column) -> DataFrame:
+    """rows range-partitioned by content and sorted by it, then by doc_id with nulls last; docs are the texts that are sampled.
+
+    Rows without content stay in as many partitions as they are in.
+    """
+    spark = rows.sparkSession
     n = partitions(spark)
-    rows = docs.count()
+    total = docs.count()
     want = n * SAMPLES_PER_PARTITION
-    some = docs.select(F.substring(key, 1, max(64, min(SAMPLE_CHARS, SAMPLE_TOTAL // want))).alias("k"), (F.length(key) + 16).alias("size")).where("k is not null")
-    some = some if rows <= want else some.sample(fraction=min(1.0, want / rows), seed=17)
-    cuts = splitters([(r.k, r.size) for r in some.collect()], n)
-    return docs.repartitionById(n, slot(F.col(key), cuts).cast("int")).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col("doc_id").asc_nulls_last())
+    some = docs if total <= want else docs.sample(fraction=min(1.0, want / total), seed=17)
+    key = normalised(F.col("text"))
+    sample = some.select(F.substring(key, 1, max(64, min(SAMPLE_CHARS, SAMPLE_TOTAL // want))).alias("k"), (F.length(key) + 16).alias("size")).where("k is not null")
+    sample = [(r.k, r.size) for r in sample.collect()]
+    cuts = splitters(sample, n)
+    parts = shares(sample, cuts, n)
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    own = slot(content, cuts) + 1
+    own = F.element_at(F.lit(first), own) + F.pmod(F.xxhash64(content), F.element_at(F.lit(parts), own).cast("long"))
+    (at,) = fresh(rows, "slot")
+    rows = rows.withColumn(at, F.when(content.isNull(), F.spark_partition_id() % first[-1]).otherwise(own).cast("int"))
+    return rows.repartitionById(first[-1], at).sortWithinPartitions(content.asc_nulls_first(), F.col("doc_id").asc_nulls_last()).drop(at)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, joined to tables of COMBINE_ROWS or COMBINE_BYTES."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= COMBINE_ROWS or size >= COMBINE_BYTES:
+            yield pa.Table.from_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def combined(content: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have the least id of their content, nulls being the largest, and how many rows have it; rows without content are alone."""
+    codes = content.combine_chunks().dictionary_encode().indices
+    alone = codes.is_null().to_numpy(zero_copy_only=False)
+    codes = codes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes[alone] = len(codes) + np.arange(alone.sum())
+    order = pa.table({"code": codes, "id": ids, "row": np.arange(len(codes))}).sort_by([("code", "ascending"), ("id", "ascending"), ("row", "ascending")])
+    codes, row = order["code"].to_numpy(), order["row"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return row[first], np.diff(np.append(first, len(codes)))
 
 
 def _firsts(texts: pa.Array, before: pa.Scalar | None) -> np.ndarray:
@@ -84,37 +138,53 @@ def dedup(docs: DataFrame) -> DataFrame:
     gives an empty one.
     """
     (key,) = fresh(docs, "content")
-    schema = docs.schema
+    keyed = small_batches(docs).withColumn(key, normalised(F.col("text")))
+    width, text = len(docs.columns), docs.columns.index("text")
+    at = docs.columns.index("doc_id")
+
+    def combine(batches):
+        for table in in_parts(batches):
+            some = table.take(pa.array(np.sort(combined(table.column(width), table.column(at))[0])))
+            # most texts are normalised as they are and needn't be sent twice
+            content = pc.if_else(pc.equal(some.column(width), some.column(text)), pa.scalar(None, some.column(width).type), some.column(width))
+            yield from some.set_column(width, key, content).to_batches()
 
     def over(batches):
         before = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column(batch.num_columns - 1)
+            texts = pc.coalesce(batch.column(width), batch.column(text))
             keep = _firsts(texts, before)
             before = texts[len(texts) - 1]
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+            yield batch.select(range(width)).filter(pa.array(keep))
 
-    return sorted_by_content(docs.withColumn(key, normalised(F.col("text"))), key).mapInArrow(over, schema)
+    rows = keyed.mapInArrow(combine, keyed.schema)
+    return sorted_by_content(rows, docs, F.coalesce(key, "text")).mapInArrow(over, docs.schema)
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id of each document that dedup keeps, and n_copies, the rows in its group."""
-    cols = docs.select(normalised(F.col("text")).alias("content"), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cols = small_batches(docs).select(normalised(F.col("text")).alias("content"), "doc_id")
+
+    def combine(batches):
+        for table in in_parts(batches):
+            row, n = combined(table.column(0), table.column(1))
+            yield from table.take(pa.array(row)).append_column("n", pa.array(n)).to_batches()
 
     def over(batches):
         held, n, before = None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, ids = batch.column(0), batch.column(1)
+            texts, ids, rows = batch.column(0), batch.column(1), batch.column(2).to_numpy()
             at = np.flatnonzero(_firsts(texts, before))
             before = texts[len(texts) - 1]
-            n += int(at[0]) if len(at) else len(texts)
+            n += int(rows[: at[0]].sum()) if len(at) else int(rows.sum())
             if not len(at):
                 continue
-            sizes = np.diff(np.append(at, len(texts)))
+            sizes = np.add.reduceat(rows, at)
             if held is not None:
                 yield pa.record_batch([pa.array([held.as_py()], ids.type), pa.array([n], pa.int64())], ["doc_id", "n_copies"])
             firsts = ids.take(pa.array(at))
@@ -123,5 +193,5 @@ def copies(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.record_batch([pa.array([held.as_py()], held.type), pa.array([n], pa.int64())], ["doc_id", "n_copies"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return sorted_by_content(cols, "content").mapInArrow(over, f"doc_id {kind}, n_copies bigint")
+    rows = cols.mapInArrow(combine, f"content string, doc_id {kind}, n bigint")
+    return sorted_by_content(rows, docs, F.col("content")).mapInArrow(over, f"doc_id {kind}, n_copies bigint")
