@@ -82,6 +82,25 @@ def test_splitters_divide_evenly():
     assert exact_dedup.splitters([("a", 1)] * 50, 8) == [] and exact_dedup.splitters([], 8) == []
 
 
+def test_exact_dedup_of_long_common_beginnings_and_hot_texts(spark, monkeypatch):
+    """More than the splitters see is alike, a third of the rows are one text, and many have none: every task gets its part, and the result is whole."""
+    monkeypatch.setattr(exact_dedup, "SAMPLE_CHARS", 64)
+    r = random.Random(31)
+    texts = ["license " * 40 + prose(r, 3) for _ in range(900)] + ["hot  text"] * 500 + [None] * 100
+    r.shuffle(texts)
+    docs = frame(spark, texts).repartition(4)
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[i if t is None else " ".join(t.split())].append(i)
+    assert {(x.doc_id, x.n_copies) for x in exact_dedup.copies(docs).collect()} == {(min(g), len(g)) for g in groups.values()}
+    assert {x.doc_id for x in exact_dedup.dedup(docs).collect()} == {min(g) for g in groups.values()}
+    rows = docs.withColumn("content", exact_dedup.normalised(exact_dedup.F.col("text")))
+    parts = exact_dedup.sorted_by_content(rows, docs, exact_dedup.F.col("content")).where("text is null or text != 'hot  text'").groupBy(exact_dedup.F.spark_partition_id()).count()
+    assert max(x["count"] for x in parts.collect()) < 600
+    few = [k for k, n in enumerate(exact_dedup.shares([("a" * 64, 1)] * 90 + [("b", 1)] * 10, ["b"], 4)) if n > 1]
+    assert few == [0]
+
+
 # 2
 
 
@@ -285,8 +304,8 @@ def test_decontamination_against_brute_force(spark):
         if (d := brute_distance(a, b)) <= decontaminate.budget(a):
             want.add((i, n, d))
     assert len(want) > 20
-    for limit in (1 << 25, 400):
-        got = decontaminate.matches(frame(spark, texts), bench, broadcast_bytes=limit).collect()
+    for limit in (1 << 26, 400):
+        got = decontaminate.matches(frame(spark, texts), bench, group_chars=limit).collect()
         assert {(x.doc_id, x.item_id, x.distance) for x in got} == want and len(got) == len(want)
     left = {x.doc_id for x in decontaminate.clean(frame(spark, texts), bench).collect()}
     assert left == set(range(80)) - {i for i, _, _ in want}
@@ -302,6 +321,31 @@ def test_decontamination_odd(spark, odd):
     assert decontaminate.clean(empty(spark), bench).count() == 0
 
 
+def test_decontamination_takes_any_ids_and_whole_short_items(spark):
+    docs = spark.createDataFrame([("a", "the heat is on"), ("b", "he said: THE END"), ("c", "x"), ("d", "日本語 テスト and more"), (None, "he")], "doc_id string, text string").withColumn("item_id", decontaminate.F.lit(1)).withColumn("distance", decontaminate.F.lit("x"))
+    bench = spark.createDataFrame([(1, "he"), (2, "the end"), (3, "日本語"), (4, "x")], "item_id int, text string")
+    got = {(x.doc_id, x.item_id, x.distance, x.budget) for x in decontaminate.matches(docs, bench).collect()}
+    assert got == {("b", 1, 0, 0), (None, 1, 0, 0), ("b", 2, 0, 0), ("d", 3, 0, 0), ("c", 4, 0, 0)}
+    assert decontaminate.matches(docs, bench.withColumn("item_id", decontaminate.F.lit("n"))).where("item_id = 'n'").count() == 5
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {"a", None}
+
+
+def test_decontamination_words_are_those_of_a_loop():
+    texts = ["Ab  c_d-é", "", None, "?!", "  x  ", "ÀÉ\n\tß1", "a\U0001f600b \U00020000"]
+    codes, at = decontaminate.words(pa.array(texts))
+    for k, t in enumerate(texts):
+        want = "".join(c.lower()[0] if c.isalnum() else " " for c in t or "")
+        assert codes[at[k] : at[k + 1]].tobytes().decode("utf-32-le").split(" ") == ["", *want.split(), ""][: len(want.split()) + 2]
+
+
+def test_decontamination_scans_once(spark):
+    bench = spark.createDataFrame([(i, f"{i} " + prose(random.Random(i), 20)) for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "x " + bench.first().text)], "doc_id long, text string")
+    found = decontaminate.matches(docs, bench, group_chars=300)
+    assert len(decontaminate.indexed(bench, group_chars=300)) > 5
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and [x.item_id for x in found.collect()] == [0]
+
+
 # 5
 
 
@@ -470,6 +514,33 @@ def test_url_rules_odd(spark):
     assert [(r.page_id, r.n_rules) for r in url_rules.matched(pages, [(["h:casino"], 1.0, 0.5)]).collect()] == [(None, 1)]
 
 
+def test_blocked_pages_against_brute_force(spark):
+    """Hosts whose documents the labels call bad; what goes with them is blocked on pages without a label too."""
+    r = random.Random(32)
+    hosts = ["a-news", "b-shop", "win-prize", "c-mail"]
+    rows = [(i, f"http://{r.choice(hosts)}.org/en/{i}?x={r.choice('ab')}", "p") for i in range(400)]
+    pages = spark.createDataFrame([*rows, (900, None, "p"), (901, "http://win.org/", "p"), (0, rows[0][1], "p")], "page_id long, url string, rule string")
+    bad = lambda u: "win-prize" in u or "b-shop" in u and "x=b" in u
+    labels = spark.createDataFrame([(i, int(not bad(u)), int(i % 2 and bad(u))) for i, u, _ in rows if i % 3] + [(None, 0, 1), (5000, 0, 0)], LABELS)
+    taught = [(frozenset(x.t), bad(x.url)) for x in pages.where("page_id % 3 != 0 and page_id < 900").select("url", url_rules.tokens(url_rules.F.col("url")).alias("t")).collect()]
+    found, z = {}, url_rules.STANDARD_ERRORS
+    for k in range(1, 9):
+        for c in map(frozenset, itertools.combinations(sorted({x for t, _ in taught for x in t}), k)):
+            both, n = sum(c <= t and b for t, b in taught), sum(c <= t for t, b in taught)
+            if both and both >= url_rules.MIN_SUPPORT * len(taught) and both / n >= url_rules.MIN_CONFIDENCE:
+                p = both / n
+                if (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n) >= 0.5:
+                    found[c] = p
+    rules = {c: p for c, p in found.items() if not any(q < c and found[q] >= p for q in found)}
+    own = {x.page_id: frozenset(x.t) for x in pages.where("url is not null").select("page_id", url_rules.tokens(url_rules.F.col("url")).alias("t")).collect()}
+    want = {i: (sum(c <= t for c in rules), max((p for c, p in rules.items() if c <= t), default=0)) for i, t in own.items()}
+    got = {x.page_id: (x.n_rules, x.confidence) for x in url_rules.blocked(pages, labels).collect()}
+    assert got == {i: w for i, w in want.items() if w[0]} and 901 in got and {i for i in got if i < 900} == {i for i, u, _ in rows if bad(u)}
+    assert url_rules.blocked(pages, labels.where("quality = 1 and toxic = 0")).count() == 0
+    clean = labels.withColumn("quality", url_rules.F.lit(1)).withColumn("toxic", url_rules.F.lit(0))
+    assert {x.page_id for x in url_rules.blocked(pages, clean, ("win",)).collect()} >= {i for i, u, _ in rows if "win-prize" in u}
+
+
 # 7
 
 
@@ -676,6 +747,16 @@ def test_toxicity_odd(spark, odd):
 # 10
 
 
+def brute_discounts(counts):
+    """Chen and Goodman's discounts of counts 1, 2 and at least 3, written out."""
+    n1, n2, n3, n4 = (sum(c == k for c in counts) for k in (1, 2, 3, 4))
+    if n1 == 0 or n2 == 0:
+        return [0.5, 0.75, 0.75] if n1 or n2 or n3 else [0.0, 0.0, 0.0]  # counts that are all larger need none
+    y = n1 / (n1 + 2 * n2)
+    three = 3 - 4 * y * n4 / n3 if n3 else 2 - 3 * y * n3 / n2
+    return [min(max(x, 0.0), top) for x, top in ((1 - 2 * y * n2 / n1, 1.0), (2 - 3 * y * n3 / n2, 2.0), (three, 3.0))]
+
+
 def brute_kneser_ney(texts):
     """P(word | context) of an interpolated modified Kneser-Ney bigram model, straight from its formulas."""
     pairs = Counter()
@@ -686,8 +767,7 @@ def brute_kneser_ney(texts):
     cont = Counter(b for _, b in pairs)
 
     def discount(counts):
-        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
-        d = kneser_ney.discounts(np.array(n))
+        d = brute_discounts(list(counts))
         return lambda c: 0 if c == 0 else d[min(c, 3) - 1]
 
     d2, d1 = discount(pairs.values()), discount(cont.values())
@@ -731,7 +811,7 @@ def test_kneser_ney_of_higher_order_against_brute_force(spark):
                 grams[order].update(tuple(words[i - order + 1 : i + 1]) for i in range(order - 1, len(words)))
         for k in range(order - 1, 0, -1):
             grams[k] = Counter(g[1:] for g in grams[k + 1])
-        d = {k: kneser_ney.discounts(np.array([sum(c == j for c in grams[k].values()) for j in (1, 2, 3, 4)])) for k in grams}
+        d = {k: brute_discounts(list(grams[k].values())) for k in grams}
         after = {k: defaultdict(list) for k in grams}
         for k, own in grams.items():
             for g, c in own.items():
@@ -746,15 +826,39 @@ def test_kneser_ney_of_higher_order_against_brute_force(spark):
             c = grams[k][g]
             return (max(c - less(c), 0) if c else 0) / sum(counts) + sum(map(less, counts)) / sum(counts) * low
 
-        told = kneser_ney.train(frame(spark, texts), order)
-        got = {x.doc_id: x for x in kneser_ney.score(frame(spark, [*texts, "zz " + texts[3]]), told).collect()}
-        for i, t in enumerate([*texts, "zz " + texts[3]]):
-            words = ["<s>"] * (order - 1) + t.split() + ["</s>"]
-            logs = [math.log(p(tuple(words[j - order + 1 : j + 1]))) for j in range(order - 1, len(words))] if t.split() else []
-            assert got[i].n_tokens == len(logs) and math.isclose(got[i].log_prob, sum(logs), rel_tol=1e-6, abs_tol=1e-9)
+        # with 256 tokens for each shard most contexts are of frequent words and are divided
+        for shard_tokens in (kneser_ney.SHARD_TOKENS, 256):
+            told = kneser_ney.train(frame(spark, texts), order, shard_tokens)
+            assert (told["hot"] > 5) == (shard_tokens == 256) and (told["shards"] > 5) == (shard_tokens == 256)
+            got = {x.doc_id: x for x in kneser_ney.score(frame(spark, [*texts, "zz " + texts[3]]), told).collect()}
+            for i, t in enumerate([*texts, "zz " + texts[3]]):
+                words = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+                logs = [math.log(p(tuple(words[j - order + 1 : j + 1]))) for j in range(order - 1, len(words))] if t.split() else []
+                assert got[i].n_tokens == len(logs) and math.isclose(got[i].log_prob, sum(logs), rel_tol=1e-6, abs_tol=1e-9)
     assert kneser_ney.ORDER >= 3
 
 
+def test_kneser_ney_files_hold_what_was_saved(tmp_path):
+    r = np.random.default_rng(12)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        counts = r.integers(1, 40, len(keys))
+        stats = [r.integers(0, 3, len(keys)) for _ in range(4)]
+        at = str(tmp_path / str(n))
+        kneser_ney.save_table(at, keys)
+        kneser_ney.save_counts(at, counts)
+        kneser_ney.save_stats(at, stats)
+        files = kneser_ney.Files(str(tmp_path))
+        asked = np.concatenate([keys[::-1], keys + np.uint64(1)])
+        assert (files.counts(str(n), asked) == np.concatenate([counts[::-1], 0 * counts])).all()
+        assert (files.stats(str(n), asked, 4) == np.concatenate([np.stack(stats, 1)[::-1], np.zeros((len(keys), 4))])).all()
+    rows = [np.sort(r.integers(0, 1 << 40, 300).astype(np.uint64)), r.integers(0, 9, 300), r.integers(0, 1 << 50, 300)]
+    assert all((a.astype(np.int64) == b.astype(np.int64)).all() for a, b in zip(rows, kneser_ney.unpacked(kneser_ney.packed(rows), 3)))
+    for bits in (3, 40):  # packed into one integer, and not
+        columns, total = kneser_ney.distinct([np.array([2, 1, 2, 1]), np.array([0, 5, 0, 4])], np.array([1, 2, 3, 4]), bits)
+        assert [c.tolist() for c in columns] == [[1, 1, 2], [4, 5, 0]] and total.tolist() == [4, 2, 4]
+
+
 def test_kneser_ney_scores_unseen_words(spark):
     told = kneser_ney.train(frame(spark, ["a b c", "a b d", "a c"]))
     got = {x.doc_id: x for x in kneser_ney.score(frame(spark, ["a b c", "x y z"]), told).collect()}
