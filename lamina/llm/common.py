@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -58,6 +59,58 @@ def saved(path: str, array: np.ndarray) -> None:
     os.replace(tmp, path)
 
 
+def fitted(spark: SparkSession, kind: str, key: str, make: Callable[[], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The arrays that make() gives for a key, kept in the shared folder: what was fitted once from the same is read."""
+    base = shared_dir(spark)
+    path = ("/" + base[5:].lstrip("/") if base.startswith("file:") else base) + f"/fitted-{kind}-{hashlib.sha256(key.encode()).hexdigest()[:32]}.npz"
+    if "://" in path:
+        return make()
+    if os.path.exists(path):
+        with np.load(path) as told:
+            return dict(told)
+    out = make()
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    tmp = f"{path}.{uuid.uuid4().hex}"
+    with open(tmp, "wb") as f:
+        np.savez(f, **out)
+    os.replace(tmp, path)
+    return out
+
+
+def best_cut(held: DataFrame, value: Callable[[np.ndarray, np.ndarray, float, float], np.ndarray]) -> tuple[float, float | None]:
+    """The score down to which taking rows (score, n, bad) is worth most, the lowest of equals, and the next lower score, None if there is none.
+
+    value gets how many rows and bad rows are taken, for each score, and the
+    numbers of all; rows of one score go together. The rows are sorted in
+    ranges, of which the driver sees the sums.
+    """
+    spark = held.sparkSession
+    by = held.groupBy("score").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+    ranged = checkpointed(by.repartitionByRange(partitions(spark), F.col("score").desc()).sortWithinPartitions(F.col("score").desc()))
+    parts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max("score").alias("top"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
+    parts.sort(key=lambda r: -r.top)
+    every, all_bad = sum(r.n for r in parts), sum(r.bad for r in parts)
+    before, n, bad = {}, 0.0, 0.0
+    for k, r in enumerate(parts):
+        before[r.part] = n, bad, parts[k + 1].top if k + 1 < len(parts) else None
+        n, bad = n + r.n, bad + r.bad
+
+    def best(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        s, n, bad, part = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(4))
+        n0, bad0, after = before[int(part[0])]
+        worth = value(n0 + np.cumsum(n), bad0 + np.cumsum(bad), every, all_bad)
+        k = len(worth) - 1 - int(np.argmax(worth[::-1]))
+        low = float(s[k + 1]) if k + 1 < len(s) else after
+        yield pa.record_batch([pa.array([float(worth[k])]), pa.array([float(s[k])]), pa.array([low], pa.float64())], ["worth", "score", "low"])
+
+    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(best, "worth double, score double, low double").collect()
+    top = max(found, key=lambda r: (r.worth, -r.score))
+    return top.score, top.low
+
+
 def scratch_table(df: DataFrame, kind: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpointed, hashed_share, hashed_tokens, in_batches, small_batches, text_bytes, without_ids
+from .common import BROADCAST_BYTES, best_cut, checkpointed, hashed_tokens, in_batches, small_batches, text_bytes, without_ids
 
 #: Labelled documents that the classifier is fitted on, about at most; everything else sees all documents.
 MAX_LABELLED = 50_000
@@ -125,20 +125,27 @@ def beta_strength(rates: DataFrame, n: str, good: str) -> float:
 def scored(docs: DataFrame, labels: DataFrame, recall: float = KEEP_RECALL, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float]:
     """Every document's doc_id, evidence, host_rate, path_rate and score (log odds of good), and the threshold.
 
-    Documents without a doc_id or text aren't scored. Of several rows with one
-    doc_id each is scored. Null sources and languages are sites named "".
-    Labels other than 0 and 1 are ignored; of contradicting labels the
-    smaller counts. Without labels of both kinds no document is told from
-    another and the threshold keeps all.
+    The host is that of source, and the path its first level; a source without
+    a path has its documents' language for one. A document's own evidence is
+    left out of the rates of its host and path. Documents without a doc_id or
+    text aren't scored. Of several rows with one doc_id each is scored. Null
+    sources and languages are sites named "". Empty texts are measured like
+    any other, very long ones whole; documents with one score are accepted or
+    rejected together. Labels other than 0 and 1 are ignored; of contradicting
+    labels the smaller counts. Other columns are ignored, whatever their
+    names. Without labels of both kinds no document is told from another and
+    the threshold keeps all. All labelled documents that the classifier wasn't
+    fitted on set the threshold, or all if those are of one kind.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = checkpointed(measured(small_batches(docs)))
     taught = rows.join(known, "doc_id").select("doc_id", "x", "quality")
-    some = hashed_share(checkpointed(taught), "doc_id", max_labelled).toPandas().sort_values("doc_id", ignore_index=True)
+    n = taught.count()
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, max_labelled / max(n, 1)) * (1 << 30))
+    fit = sampled & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) < 3)
+    some = taught.where(fit).toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array([*some["x"]]).reshape(len(some), N_FEATURES)
-    y = some["quality"].to_numpy(float) if len(some) else np.zeros(0)
-    held = np.arange(len(y)) % 4 == 3
-    model = Logistic(x[~held], y[~held])
+    model = Logistic(x, some["quality"].to_numpy(float) if len(some) else np.zeros(0))
 
     def evidence(batch):
         flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
@@ -149,35 +156,34 @@ def scored(docs: DataFrame, labels: DataFrame, recall: float = KEEP_RECALL, max_
     told = rows.mapInArrow(in_batches(evidence), f"doc_id {kind}, host string, path string, evidence double")
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = checkpointed(told.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")))
+    total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
     rate = (total.good + 1) / (total.n + 2) if total.n else 0.5
-    kh, kp = beta_strength(hosts, "n", "good"), beta_strength(paths, "n", "good")
-    host_rate = hosts.select("host", ((F.col("good") + kh * rate) / (F.col("n") + kh)).alias("host_rate"))
-    sites = paths.join(host_rate, "host").select("host", "path", "host_rate", ((F.col("good") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
+    kh, kp = beta_strength(hosts, "host_n", "host_good"), beta_strength(paths, "n", "good")
+    sites = paths.join(hosts, "host")
     if sites.count() * 128 <= BROADCAST_BYTES:
         sites = F.broadcast(sites)
+    out = told.join(sites, ["host", "path"]).withColumn("host_rate", (F.col("host_good") - p + kh * rate) / (F.col("host_n") - 1 + kh))
+    out = out.withColumn("path_rate", (F.col("good") - p + kp * F.col("host_rate")) / (F.col("n") - 1 + kp))
     odds = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(rate / (1 - rate)))
-    out = told.join(sites, ["host", "path"]).select("doc_id", "evidence", "host_rate", "path_rate", (F.col("evidence") + odds).alias("score"))
-    if len(set(y)) < 2:
+    out = out.select("doc_id", "evidence", "host_rate", "path_rate", (F.col("evidence") + odds).alias("score"))
+    back = checkpointed(out.join(known, "doc_id").select("score", F.lit(1).alias("n"), (1 - F.col("quality")).alias("bad"), fit.alias("fit")))
+    kinds = {(r.bad, r.fit) for r in back.select("bad", "fit").distinct().collect()}
+    if {b for b, _ in kinds} != {0, 1}:
         return out, float("-inf")
-    taught_ids = docs.sparkSession.createDataFrame(some[["doc_id", "quality"]][held] if held.any() else some[["doc_id", "quality"]])
-    back = out.join(F.broadcast(taught_ids), "doc_id").select("score", "quality").toPandas()
-    return out, threshold(back["score"].to_numpy(), back["quality"].to_numpy(), recall)
+    held = back if {b for b, f in kinds if not f} != {0, 1} else back.where("not fit")
+    return out, threshold(held.select("score", "n", "bad"), recall)
 
 
-def threshold(score: np.ndarray, good: np.ndarray, recall: float) -> float:
-    """The cut with the fewest errors among those that keep this part of the good; in the middle of its gap."""
-    order = np.argsort(score)
-    s, g = score[order], good[order]
-    bad_below = np.concatenate([[0], np.cumsum(g == 0)])
-    good_below = np.concatenate([[0], np.cumsum(g == 1)])
-    errors = good_below + (bad_below[-1] - bad_below)
-    allowed = good_below <= (1 - recall) * good_below[-1]
-    k = int(np.flatnonzero(allowed)[np.argmin(errors[allowed])])
-    if k == 0:
-        return float("-inf")
-    return float((s[k - 1] + s[k]) / 2) if k < len(s) else float(s[-1])
+def threshold(held: DataFrame, recall: float) -> float:
+    """The cut with the fewest errors among those that keep this part of the good of rows (score, n, bad), the lowest of equals; in the middle of its gap."""
+
+    def worth(n, bad, every, all_bad):
+        lost = every - all_bad - (n - bad)
+        return np.where(lost <= (1 - recall) * (every - all_bad), -(lost + bad), -np.inf)
+
+    score, low = best_cut(held, worth)
+    return float("-inf") if low is None else (score + low) / 2
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,6 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs less those that the classifier rejects; what can't be scored (null doc_id or text) stays.
 
     Rows that share a doc_id go together: they stay if any of them is accepted.
+    Columns pass through whatever their names.
     """
     rows, cut = scored(docs, labels)
     gone = rows.groupBy("doc_id").agg(F.max("score").alias("score")).where(F.col("score") < cut).select("doc_id")
