@@ -16,9 +16,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import raw_bytes, small_batches
+from .common import _LOWER, fitted, raw_bytes, small_batches
 
 BODY, SIDE = 64, 32
 WIDTH = BODY + 2 * SIDE
@@ -73,7 +73,44 @@ _VALUE = re.compile(
     rb"""(?:[ \t]*(?::=|=>|=|:)[ \t]*|[ \t]+(?:is[ \t]+)?(?=["']))(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'][^\s]*))"""
     rb"""|(?i:bearer)[ \t]+([^\s"']+)"""
 )
-_LONG = re.compile(rb"[A-Za-z+/_=\-.~]{20,}")
+#: How every key-like name begins.
+_BEGINS = np.zeros(1 << 24, bool)
+_FIRST = np.zeros(256, bool)
+for _c in (b"tok", b"sec", b"pas", b"pwd", b"pin", b"cre", b"bea", b"aut", b"api", b"acc", b"pri", b"enc", b"sig", b"key"):
+    _BEGINS[int.from_bytes(_c, "little")] = True
+    _FIRST[[_c[0], _c[0] - 32]] = True
+_LONG = _KEY & ~_DIGIT
+
+
+def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of a mask over the texts' bytes begin and end."""
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    last[:-1] &= ~mask[1:]
+    edge = off[(off > 0) & (off < len(mask))]
+    first[edge] = mask[edge]
+    last[edge - 1] = mask[edge - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def named_values(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Begin and end of each value that is given to a key-like name, and of both together."""
+    some = np.flatnonzero(_FIRST[data[:-2]]) if len(data) > 2 else np.zeros(0, np.int64)
+    low = _LOWER[data]
+    some = some[_BEGINS[low[some] | low[some + 1].astype(np.int64) << 8 | low[some + 2].astype(np.int64) << 16]]
+    out, doc = [], np.searchsorted(off, some, "right") - 1
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+    for i, j in zip(cuts, [*cuts[1:], len(doc)]):
+        o = int(off[doc[i]])
+        text, end = data[o : off[doc[i] + 1]].tobytes(), 0
+        for at in (some[i:j] - o).tolist():
+            if at >= end and (m := _VALUE.match(text, at)):
+                end = m.end()
+                x, y = m.span(m.lastindex)
+                if m.lastindex >= 3:
+                    y = x + len(text[x:y].rstrip(b"\"',;)]}>")) or y
+                out.append((o + x, o + y, o + at, o + end))
+    return out
 
 
 def proposals(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +120,13 @@ def proposals(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     run that is hardly more than its name and itself.
     """
     a, b = candidates(data, off)
-    spans = {*zip(a.tolist(), b.tolist())}
-    values, named = [], []
-    for k in range(len(off) - 1):
-        text, o = data[off[k] : off[k + 1]].tobytes(), int(off[k])
-        for m in _VALUE.finditer(text):
-            x, y = m.span(m.lastindex)
-            if m.lastindex >= 3:
-                y = x + len(text[x:y].rstrip(b"\"',;)]}>")) or y
-            values.append((o + x, o + y))
-            named.append((o + m.start(), o + m.end()))
-        spans |= {(o + m.start(), o + m.end()) for m in _LONG.finditer(text) if m.group().strip(b"+/_=-.~")}
+    x, y = runs(_LONG[data], off)
+    long = y - x >= 20
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    long &= letters[y] > letters[x]
+    spans = {*zip(a.tolist(), b.tolist()), *zip(x[long].tolist(), y[long].tolist())}
+    found = named_values(data, off)
+    values, named = [f[:2] for f in found], [f[2:] for f in found]
     out: list[tuple[int, int]] = []
     for x, y in sorted(spans):
         if out and x < out[-1][1]:
@@ -114,11 +147,12 @@ def proposals(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def keys(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of these spans are candidates by themselves."""
-    out = np.zeros(len(a), bool)
-    for k, (x, y) in enumerate(zip(a, b)):
-        own = candidates(data[x:y], np.array([0, y - x]))
-        out[k] = len(own[0]) == 1 and own[1][0] - own[0][0] == y - x
-    return out
+    sums = lambda mask: np.concatenate([[0], np.cumsum(mask[data])])
+    key, digit, letter, upper = map(sums, (_KEY, _DIGIT, _LETTER, _UPPER))
+    size, digits, letters = b - a, digit[b] - digit[a], letter[b] - letter[a]
+    inner = upper[b] - upper[np.minimum(a + 1, b)]
+    some = (digits > 0) & (letters > 0) | (size >= 20) & ((inner > 0) & (inner < letters) | (digits >= 16))
+    return some & (size >= MIN_CHARS) & (key[b] - key[a] == size)
 
 
 def frames(data: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,6 +363,18 @@ class Scanner:
         every = np.quantile(np.concatenate([np.zeros(missed), sure[y == 1]]), 1 - recall, method="lower")
         self.least = float(every or sure[y == 1].min())
 
+    @classmethod
+    def of(cls, told: dict[str, np.ndarray]) -> "Scanner":
+        """The scanner that these arrays tell."""
+        own = cls.__new__(cls)
+        own.net = Network.__new__(Network)
+        own.net.p = {k: x for k, x in told.items() if k != "cut"}
+        own.slope, own.offset, own.least = told["cut"].tolist()
+        return own
+
+    def told(self) -> dict[str, np.ndarray]:
+        return self.net.p | {"cut": np.array([self.slope, self.offset, self.least])}
+
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.clip(logit, -60, 60) + self.offset)))
 
@@ -345,25 +391,28 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def trained(spark: SparkSession, n_findings: int, named: bool, recall: float) -> dict[str, np.ndarray]:
+    """A scanner of generated findings; what was trained once with the same settings is read."""
+    key = repr((n_findings, named, recall, EPOCHS, BODY, SIDE, DIM, FILTERS, KERNEL, DENSE, MIN_CHARS, findings(50, named=named)))
+    return fitted(spark, "secrets", key, lambda: Scanner(findings(n_findings, named=named), recall).told())
+
+
 def scan(docs: DataFrame, n_findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
     """(doc_id, begin, n_chars, digest, probability) of each candidate that the network takes for a secret.
 
     begin counts characters; digest is the candidate's SHA-256, so that the
     report doesn't repeat the secret. Null and empty texts have no findings,
-    texts are read whole, repeated rows are each reported.
+    texts are read whole, however long, repeated rows and candidates are each
+    reported, and what reaches the threshold exactly is a finding. doc_ids are
+    of any type, other columns are ignored, whatever their names.
     """
     # keys of known formats and other named values are told by different signs and have a network and a threshold each
-    scanners = [Scanner(findings(n_findings, named=named), recall) for named in (False, True)]
+    told = [trained(docs.sparkSession, n_findings, named, recall) for named in (False, True)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast([(x.net.p, x.slope, x.offset, x.least) for x in scanners])
+    shared = docs.sparkSession.sparkContext.broadcast(told)
 
     def over(batches):
-        both = []
-        for told in shared.value:
-            own = Scanner.__new__(Scanner)
-            own.net = Network.__new__(Network)
-            own.net.p, own.slope, own.offset, own.least = told
-            both.append(own)
+        both = [Scanner.of(x) for x in shared.value]
         for whole in batches:
             for part in range(0, whole.num_rows, 1000):
                 batch = whole.slice(part, 1000)
@@ -377,8 +426,8 @@ def scan(docs: DataFrame, n_findings: int = FINDINGS, recall: float = RECALL) ->
                 hit = np.flatnonzero(found)
                 if len(hit):
                     doc = np.searchsorted(off, a[hit], "right") - 1
-                    begin = [len(data[off[d] : x].tobytes().decode(errors="ignore")) for d, x in zip(doc, a[hit])]
-                    size = [len(data[x:y].tobytes().decode(errors="ignore")) for x, y in zip(a[hit], b[hit])]
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    begin, size = chars[a[hit]] - chars[off[doc]], chars[b[hit]] - chars[a[hit]]
                     digest = [hashlib.sha256(data[x:y].tobytes()).hexdigest() for x, y in zip(a[hit], b[hit])]
                     yield pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(sure[hit])], ["doc_id", "begin", "n_chars", "digest", "probability"])
 
