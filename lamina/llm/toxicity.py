@@ -11,12 +11,14 @@ class mix.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, small_batches, span_hashes, text_bytes, token_spans
+from .common import best_cut, checkpointed, fitted, small_batches, span_hashes, text_bytes, token_spans
 
 WINDOW, STRIDE = 24, 12
 WORDS, GRAMS = 1 << 14, 1 << 13
@@ -24,6 +26,10 @@ DIM, HIDDEN, ATTEND = 8, 8, 8
 #: Labelled documents that are sampled for fitting, at most, half of them toxic if there are enough; it takes those that aren't held.
 MAX_LABELLED = 3000
 EPOCHS = 14
+#: Windows of one training step.
+STEP = 64
+#: Log odds from which on a window's neighbourhood is scored word by word.
+REFINE = -3.0
 #: Windows that are scored at once.
 CHUNK = 4096
 
@@ -141,6 +147,27 @@ class Network:
                 out[some] = self.pooled(self.states(gates, words.codes[first[some, None] + np.arange(n)]))[3]
         return out, text, first - words.at[text]
 
+    def worst(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts that have words, the log odds of each one's worst window, how many windows were scored, and the worst one's first token.
+
+        Around windows of more than REFINE all positions are scored, so that
+        a passage of a window's length or less is whole in one of them.
+        """
+        score, text, start = self.score(words)
+        n = np.diff(words.at)
+        some = np.flatnonzero((score > REFINE) & (n[text] > WINDOW))
+        at = start[some, None] + np.arange(1 - STRIDE, STRIDE)
+        at = np.clip(at, 0, (n[text[some]] - WINDOW)[:, None])
+        both = np.unique(np.stack([np.repeat(text[some], at.shape[1]), at.ravel()], 1), axis=0)
+        if len(both):
+            gates = self.inputs(words) @ self.p["w"] + self.p["b"]
+            first = words.at[both[:, 0]] + both[:, 1]
+            more = np.concatenate([self.pooled(self.states(gates, words.codes[first[k : k + CHUNK, None] + np.arange(WINDOW)]))[3] for k in range(0, len(first), CHUNK)])
+            score, text, start = np.append(score, more), np.append(text, both[:, 0]), np.append(start, both[:, 1])
+        worst = _worst(score, text, len(n))
+        own = np.flatnonzero(worst >= 0)
+        return own, score[worst[own]], np.bincount(text, minlength=len(n))[own], start[worst[own]]
+
     def gradient(self, words: Words, first: np.ndarray, n: int, y: np.ndarray, weight: np.ndarray) -> dict:
         """The gradient of the weighted log loss on windows of n words."""
         p, k, w = self.p, HIDDEN, 2 * HIDDEN
@@ -255,7 +282,6 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
     suspect = np.concatenate([[0.0], np.cumsum(_suspects(words, y)[words.codes])])
     score = suspect[first + length] - suspect[first]
     balance = np.where(y > 0, (1 - y.mean()) / y.mean(), 1.0) ** 0.5
-    size = 128 if len(y) >= 1125 else 32  # few documents would make few steps
     for epoch in range(epochs):
         worst = _worst(score, text, len(y))
         chosen = [worst[worst >= 0]]
@@ -266,8 +292,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
         adam.rate = 0.01 * (1 - 0.7 * epoch / epochs)
         for n in np.unique(length[some]):
             own = some[length[some] == n]
-            for k in range(0, len(own), size):
-                b = own[k : k + size]
+            for k in range(0, len(own), STEP):
+                b = own[k : k + STEP]
                 adam.step(net.gradient(words, first[b], int(n), y[text[b]], balance[text[b]] / len(b) * min(1, len(b) / 16)))
         if epoch >= 3 and epoch + 1 < epochs:
             score = net.score(words)[0]
@@ -276,31 +302,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, epochs: int = EPOCHS
 
 def best_f1(held: DataFrame) -> float:
     """The score with the best F1 over all rows (score, toxic, weight), in the middle of its gap; rows of one score go together."""
-    spark = held.sparkSession
-    by = held.groupBy("score").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("toxic")).alias("bad"))
-    ranged = checkpointed(by.repartitionByRange(partitions(spark), F.col("score").desc()).sortWithinPartitions(F.col("score").desc()))
-    parts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max("score").alias("top"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
-    parts.sort(key=lambda r: -r.top)
-    actual = sum(r.bad for r in parts)
-    before, n, bad = {}, 0.0, 0.0
-    for k, r in enumerate(parts):
-        before[r.part] = n, bad, parts[k + 1].top if k + 1 < len(parts) else None
-        n, bad = n + r.n, bad + r.bad
-
-    def best(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        s, n, bad, part = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(4))
-        n0, bad0, after = before[int(part[0])]
-        f1 = 2 * (bad0 + np.cumsum(bad)) / (n0 + np.cumsum(n) + actual)
-        k = int(np.argmax(f1))
-        low = float(s[k + 1]) if k + 1 < len(s) else after
-        yield pa.record_batch([pa.array([float(f1[k])]), pa.array([float(s[k])]), pa.array([low], pa.float64())], ["f1", "score", "low"])
-
-    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(best, "f1 double, score double, low double").collect()
-    top = max(found, key=lambda r: (r.f1, r.score))
-    return (top.score + top.low) / 2 if top.low is not None else top.score - 1e-6
+    rows = held.select("score", F.col("weight").alias("n"), (F.col("weight") * F.col("toxic")).alias("bad"))
+    score, low = best_cut(rows, lambda n, bad, every, all_bad: 2 * bad / (n + all_bad))
+    return (score + low) / 2 if low is not None else score - 1e-6
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
@@ -317,7 +321,16 @@ def trained(docs: DataFrame, known: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bad.unionAll(good).where("not held")), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
     order = np.random.default_rng(3).permutation(len(rows))
-    return fit([*rows["text"].iloc[order]], rows["toxic"].to_numpy()[order]), rows["doc_id"].unique().tolist()
+    texts, y = [*rows["text"].iloc[order]], rows["toxic"].to_numpy()[order]
+    ids = rows["doc_id"].unique().tolist()
+    if len(set(y.tolist())) < 2 or not len(Words(pa.array(texts, pa.string())).codes):
+        return None, ids
+    key = hashlib.sha256(repr((WINDOW, STRIDE, WORDS, GRAMS, DIM, HIDDEN, ATTEND, EPOCHS, STEP, y.tolist())).encode())
+    for t in texts:
+        key.update(f"{len(t)} {t}".encode())
+    net = Network()
+    net.p = fitted(docs.sparkSession, "toxicity", key.hexdigest(), lambda: fit(texts, y).p)
+    return net, ids
 
 
 def threshold(scored: DataFrame, known: DataFrame, fitted: list) -> float:
@@ -344,9 +357,12 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, n_windows, worst_word) of each document whose worst window reaches the threshold.
 
     score is the worst window's log odds; worst_word is the number of its
-    first word in the text. Null texts and texts without words are never
-    toxic; repeated rows are each reported. Contradicting labels count as
-    toxic. Without labels of both kinds nothing is toxic.
+    first word in the text, n_windows how many were scored. Null texts and
+    texts without words are never toxic; every window of a text is scored,
+    however long it is; repeated rows are each reported, and rows of one score
+    are toxic or not together. Contradicting labels count as toxic. Without
+    labels of both kinds nothing is toxic. doc_ids are of any type, other
+    columns are ignored, whatever their names.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, n_windows bigint, worst_word bigint"
@@ -362,14 +378,9 @@ def toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 some = batch.slice(part, 1000)
-                words = Words(some.column(1))
-                score, text, start = model.score(words)
-                worst = _worst(score, text, some.num_rows)
-                own = np.flatnonzero(worst >= 0)
+                own, score, windows, start = model.worst(Words(some.column(1)))
                 if len(own):
-                    windows = np.bincount(text, minlength=some.num_rows)
-                    w = worst[own]
-                    yield pa.record_batch([some.column(0).take(pa.array(own)), pa.array(score[w].astype(float)), pa.array(windows[own]), pa.array(start[w])], ["doc_id", "score", "n_windows", "worst_word"])
+                    yield pa.record_batch([some.column(0).take(pa.array(own)), pa.array(score.astype(float)), pa.array(windows), pa.array(start)], ["doc_id", "score", "n_windows", "worst_word"])
 
     # every text is scored once; the scores are kept, as the threshold needs those of all labelled documents
     scored = checkpointed(small_batches(docs).where("text is not null").select("doc_id", "text").mapInArrow(over, schema))
