@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ SHARD_TOKENS = 2 << 20
 SCORE_BYTES = 8 << 20
 #: Words of the longest n-grams in op10_lm_score.
 ORDER = 3
+#: How far from its share of a bucket a hash is looked for first.
+NEAR = 4
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _CLASSES = 48
 _32 = np.uint64(32)
@@ -60,14 +63,35 @@ def grams(words: np.ndarray, first: np.ndarray, order: int, begin: int) -> list[
     return columns
 
 
+def spread(numbers: np.ndarray) -> np.ndarray:
+    return mix(numbers.astype(np.uint64) + np.uint64(0xA4093822299F31D0))
+
+
+_SEED = np.uint64(0x452821E638D01377)
+
+
+def extended(key: np.ndarray | np.uint64, column: np.ndarray) -> np.ndarray:
+    """The hashes of rows that are longer by a column of spread numbers."""
+    return mix(key ^ column)
+
+
 def fold(columns: list[np.ndarray]) -> np.ndarray:
     """A 64-bit hash of the columns' rows."""
-    out = np.full(len(columns[0]), 0x452821E638D01377, np.uint64)
+    out = _SEED
     for x in columns:
-        out = mix(out ^ mix(x.astype(np.uint64) + np.uint64(0xA4093822299F31D0)))
+        out = extended(out, spread(x))
     return out
 
 
+def coded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and each one's number among them."""
+    code, names = pd.factorize(hashes)
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[code]
+
+
 def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Which of n even ranges of 64-bit integers a key is in."""
     return ((keys >> _32) * np.uint64(n) >> _32).astype(np.int32)
@@ -81,22 +105,27 @@ def hot(context: list[np.ndarray], below: int) -> np.ndarray:
     return out
 
 
-def distinct(columns: list[np.ndarray], n: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows in their order, and the sums of n; numbers have so many bits."""
-    if not len(n):
-        return columns, n
+def distinct(columns: list[np.ndarray], n: np.ndarray | None, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows in their order, and the sums of n, or how often each was there; numbers have so many bits."""
+    if not len(columns[0]):
+        return columns, np.zeros(0, np.int64)
     if bits * len(columns) <= 64:
         key = columns[0].astype(np.uint64)
         for c in columns[1:]:
             key = key << np.uint64(bits) | c.astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
+        if n is None:
+            key = np.sort(key)
+        else:
+            order = np.argsort(key)
+            key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first)
         key, out = key[first], []
         for _ in columns:
             out.insert(0, (key & np.uint64((1 << bits) - 1)).astype(np.int64))
             key = key >> np.uint64(bits)
-        return out, np.add.reduceat(n[order], first)
+        return out, total
+    n = np.ones(len(columns[0]), np.int64) if n is None else n
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
@@ -181,6 +210,17 @@ def save_stats(path: str, stats: list[np.ndarray]) -> None:
     saved(f"{path}.kind.npy", code.astype(np.min_scalar_type(max(len(first) - 1, 0))))
 
 
+def _lower_bound(own: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where in [low, high) of the sorted own the first one that isn't less than each key is; high if there is none."""
+    place, last = low.copy(), np.int32(len(own) - 1)
+    step = 1 << max(0, int((high - low).max(initial=0)).bit_length() - 1)
+    while step:
+        there = place + np.int32(step - 1)
+        place += np.where((there < high) & (own[np.minimum(there, last)] < key), np.int32(step), np.int32(0))
+        step >>= 1
+    return place
+
+
 class Files:
     """The arrays of a folder, mapped into memory when they are first asked for."""
 
@@ -202,21 +242,23 @@ class Files:
     def places(self, name: str, keys: np.ndarray) -> np.ndarray:
         """Where the keys are in a table, -1 for those that aren't."""
         at, own = self(f"{name}.at"), self(f"{name}.key")
+        if not len(own):
+            return np.full(len(keys), -1, np.int32)
         bits = np.uint64(len(at).bit_length() - 1)
         bucket = (keys >> np.uint64(64) - bits).astype(np.int64)
         key = (keys << bits >> _32).astype(np.uint32)
-        low, high = at[bucket].astype(np.int64), at[bucket + 1].astype(np.int64)
-        last = max(len(own) - 1, 0)
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            mid = np.minimum(low + high >> 1, last)
-            less = own[mid] < key
-            open_ = low < high
-            low = np.where(less & open_, mid + 1, low)
-            high = np.where(less | ~open_, high, mid)
-        if not len(own):
-            return np.full(len(keys), -1)
-        end = at[bucket + 1]
-        return np.where((low < end) & (own[np.minimum(low, last)] == key), low, -1)
+        low, high = at[bucket].astype(np.int32), at[bucket + 1].astype(np.int32)
+        # hashes are even, so a key is near its share of the bucket; what isn't within NEAR is looked for in the whole
+        guess = low + (key.astype(np.int64) * (high - low) >> 32).astype(np.int32)
+        from_, to = np.maximum(guess - NEAR, low), np.minimum(guess + NEAR, high)
+        place = _lower_bound(own, key, from_, to)
+        hit = own[np.minimum(place, len(own) - 1)] == key
+        hit &= place < high
+        far = np.flatnonzero(~hit & ((place == from_) & (from_ > low) | (place == to) & (to < high)))
+        if len(far):
+            place[far] = _lower_bound(own, key[far], low[far], high[far])
+            hit[far] = (own[np.minimum(place[far], len(own) - 1)] == key[far]) & (place[far] < high[far])
+        return np.where(hit, place, -1)
 
     def counts(self, name: str, keys: np.ndarray) -> np.ndarray:
         place = self.places(name, keys)
@@ -286,7 +328,8 @@ def vocabulary(docs: DataFrame, path: str) -> dict:
 
         for batch in batches:
             words, first = tokens_of(batch.column(0))
-            names, total = np.unique(words, return_counts=True)
+            names, code = coded(words)
+            total = np.bincount(code, minlength=len(names))
             texts = int((np.diff(first) > 0).sum())
             held.append((np.append(names, BEGIN), np.append(total, texts)))
             size += len(names)
@@ -398,17 +441,15 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
         words, held, size = Vocabulary(told), [], 0
 
         def merged():
-            columns, total = distinct([np.concatenate([h[0][k] for h in held]) for k in range(order)], np.concatenate([h[1] for h in held]), bits)
+            columns, total = distinct([np.concatenate([h[k] for h in held]) for k in range(order)], None, bits)
             held.clear()
             return _rows([(s, GRAM, blob) for s, blob in by_shard(routed(columns), [*columns, total])])
 
         for batch in batches:
             hashes, first = tokens_of(batch.column(0))
-            names, code = np.unique(hashes, return_inverse=True)
-            columns = grams(words.numbers(names)[code], first, order, told["begin"])
-            columns, total = distinct(columns, np.ones(len(code), np.int64), bits)
-            held.append((columns, total))
-            size += len(total)
+            names, code = coded(hashes)
+            held.append(grams(words.numbers(names)[code], first, order, told["begin"]))
+            size += len(code)
             if size > FLUSH_TOKENS:
                 yield merged()
                 size = 0
@@ -440,8 +481,7 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
         columns, total = distinct([np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(width)], np.concatenate([p[width] for p in parts]), bits)
         return shard, columns, total, of
 
-    def table(name: str, columns: list[np.ndarray], total: np.ndarray) -> None:
-        key = fold(columns)
+    def table(name: str, key: np.ndarray, total: np.ndarray) -> None:
         by = np.argsort(key)
         save_table(name, key[by])
         save_counts(name, total[by])
@@ -454,7 +494,6 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
             shard, columns, total, of = got
             rows = []
             if columns is not None:
-                table(f"{path}/{shard}/gram{width}", columns, total)
                 # n-grams are in the order of their words, so each context's lie together
                 new = np.ones(len(total), bool)
                 new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])
@@ -462,6 +501,7 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
                 stats = [np.add.reduceat(x, first) for x in (total, *(x.astype(np.int64) for x in (total == 1, total == 2, total >= 3)))]
                 context = [c[first] for c in columns[:-1]]
                 key, crowd = fold(context), hot(context, below)
+                table(f"{path}/{shard}/gram{width}", extended(np.repeat(key, np.diff(np.append(first, len(total)))), spread(columns[-1])), total)
                 by = np.argsort(key)
                 some = by[~crowd[by]]
                 save_table(f"{path}/{shard}/context{width}", key[some])
@@ -470,7 +510,7 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
                 rows += [(s, HOT, blob) for s, blob in by_shard(shard_of(key[some], n), [key[some], *(x[some] for x in stats)])]
                 of[7 + 4 * (width - 2) : 7 + 4 * (width - 1)] += [np.sum(total == k) for k in (1, 2, 3, 4)]
                 # each n-gram is one word before the shorter one
-                shorter, seen = distinct(columns[1:], np.ones(len(total), np.int64), bits)
+                shorter, seen = distinct(columns[1:], None, bits)
                 rows += [(s, GRAM, blob) for s, blob in by_shard(routed(shorter), [*shorter, seen])]
             yield _rows([*rows, (shard % n, TOLD, of.tobytes())])
 
@@ -482,7 +522,7 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = SHARD_TOKENS) ->
             return
         shard, columns, seen, of = got
         if columns is not None:
-            table(f"{path}/{shard}/gram1", columns, seen)
+            table(f"{path}/{shard}/gram1", fold(columns), seen)
             of[:7] += np.array([np.sum(seen == k) for k in (1, 2, 3, 4)] + [seen.sum(), len(seen), np.sum(seen >= 3)], np.int64)
         yield pa.record_batch([pa.array([of], pa.list_(pa.int64()))], ["of"])
 
@@ -505,25 +545,20 @@ class Model:
     def __init__(self, told: dict):
         self.told, self.words, self.files = told, Vocabulary(told), Files(told["path"])
 
-    def counts(self, columns: list[np.ndarray]) -> np.ndarray:
-        """How often the n-grams were counted."""
-        t, key = self.told, fold(columns)
-        route = key
-        if len(columns) > 1:
-            route = np.where(hot(columns[:-1], t["hot"]), key, fold(columns[:-1]))
+    def counts(self, width: int, key: np.ndarray, route: np.ndarray) -> np.ndarray:
+        """How often the n-grams of these hashes, which lie in their routes' shards, were counted."""
         out = np.zeros(len(key), np.int64)
-        for shard, own in each_shard(shard_of(route, t["shards"])):
-            if self.files.has(f"{shard}/gram{len(columns)}.at"):
-                out[own] = self.files.counts(f"{shard}/gram{len(columns)}", key[own])
+        for shard, own in each_shard(shard_of(route, self.told["shards"])):
+            if self.files.has(f"{shard}/gram{width}.at"):
+                out[own] = self.files.counts(f"{shard}/gram{width}", key[own])
         return out
 
-    def contexts(self, columns: list[np.ndarray]) -> np.ndarray:
-        """For each context the sum of its n-grams' counts, and how many of them have count 1, 2 and more."""
-        t, key, crowd = self.told, fold(columns), hot(columns, self.told["hot"])
+    def contexts(self, width: int, key: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+        """For each context of n-grams of a width the sum of their counts, and how many of them have count 1, 2 and more; crowd are the divided ones."""
         out = np.zeros((len(key), 4), np.int64)
-        for shard, own in each_shard(shard_of(key, t["shards"])):
+        for shard, own in each_shard(shard_of(key, self.told["shards"])):
             for kind, some in (("hot", own[crowd[own]]), ("context", own[~crowd[own]])):
-                name = f"{shard}/{kind}{len(columns) + 1}"
+                name = f"{shard}/{kind}{width}"
                 if len(some) and self.files.has(f"{name}.at"):
                     out[some] = self.files.stats(name, key[some], 4)
         return out
@@ -532,23 +567,25 @@ class Model:
         """Natural logarithms of P(word | words before it) of texts of hashed words, each order interpolated with the one below."""
         t = self.told
         less = lambda n, d: np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0.0)
-        names, code = np.unique(hashes, return_inverse=True)
+        names, code = coded(hashes)
         ids = self.words.numbers(names)
-        columns = grams(ids[code], first, t["order"], t["begin"])
-        p = (less(self.counts([ids]), t["word"]) / max(t["total"], 1) + t["uniform"])[code]
+        alone = fold([ids])
+        p = (less(self.counts(1, alone, alone), t["word"]) / max(t["total"], 1) + t["uniform"])[code]
+        ids = np.append(ids, t["begin"])
+        mixed, alone, frequent = spread(ids), fold([ids]), ids < t["hot"]
+        columns = grams(code, first, t["order"], len(ids) - 1)
         for width in range(2, t["order"] + 1):
-            d = t["gram"][width]
-            own = columns[-width:]
-            if width == 2:  # contexts are words, of which there are few
-                named = self.contexts([np.append(ids, t["begin"])])
-                before = np.append(code[:1], code[:-1])
-                before[first[:-1][np.diff(first) > 0]] = len(ids)
-                stats = named[before] if len(code) else named[:0]
-            else:
-                stats = self.contexts(own[:-1])
+            d, own = t["gram"][width], columns[-width:]
+            key, crowd = alone[own[0]], frequent[own[0]]
+            for x in own[1:-1]:
+                key, crowd = extended(key, mixed[x]), crowd & frequent[x]
+            # contexts of one word are looked up once for each word
+            stats = self.contexts(2, alone, frequent)[own[0]] if width == 2 else self.contexts(width, key, crowd)
+            gram = extended(key, mixed[own[-1]])
             total = stats[:, 0]
             over = np.maximum(total, 1)
-            p = less(self.counts(own), d) / over + np.where(total > 0, stats[:, 1:] @ np.array(d) / over, 1.0) * p
+            n = self.counts(width, gram, np.where(crowd, gram, key))
+            p = less(n, d) / over + np.where(total > 0, stats[:, 1:] @ np.array(d) / over, 1.0) * p
         return np.log(np.maximum(p, 1e-300))
 
 
