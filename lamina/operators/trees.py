@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import leb_hex, object_hash
@@ -75,3 +75,20 @@ def build(leaves: DataFrame, directories: DataFrame | None = None, known: DataFr
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select("path", "hash", "payload_hex")
+
+
+def versions_above(changes: DataFrame, kind: str = "01", algorithm: str = "sha2-256") -> DataFrame:
+    """path, seq and hash (null: gone) of the directories right above the changed paths, at the commits that touch them.
+
+    changes are path, seq and hash (null: a deletion) of one depth and kind. A
+    directory is hashed only at the commits that change an entry of it, by a
+    join on its own path: nothing is multiplied by all commits. A directory
+    without entries is gone.
+    """
+    own = changes.select(parent(F.col("path")).alias("above"), F.element_at("path", -1).alias("name"), "seq", "hash")
+    after = F.lead("seq").over(Window.partitionBy("above", "name").orderBy("seq"))
+    lived = own.withColumn("until", after).where("hash is not null").withColumnRenamed("seq", "since")
+    touched = own.select("above", "seq").distinct()
+    rows = touched.join(lived, "above").where("since <= seq and (until is null or seq < until)")
+    built = directory_hashes(rows.select("above", "seq", "name", F.lit(kind).alias("kind"), "hash"), ["above", "seq"], algorithm)
+    return touched.join(built, ["above", "seq"], "left").select(F.col("above").alias("path"), "seq", "hash")

@@ -5,18 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, long_id, row_document
+from ..functions.codec import commit_payload, digest, envelope
 from ..functions.hashing import blake3_hex, blob_hash, envelope_hex, leb_hex, object_hash, zstd
 from ..operators import history
-from ..operators.trees import build, directory_hashes, joined_entries
+from ..operators.trees import build, directory_hashes, versions_above
 from ..repo import Repo, fsck, reachable, walk
 from ..shared import checkpointed, scratch_path, shared_dir
 from ..sources.frames import encode_frames, read_frames
 from ..sources.tables import cluster_scan, collection
-from ..streaming.changes import carried_runs, changes, watch
+from ..streaming.changes import carried_runs, changes, drain, watch
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def day_number(ts: Column) -> Column:
+    """Days since the end of 2023: the number of a day's commit."""
+    return F.datediff(ts, F.lit("2023-12-31")).cast("long")
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as change events: seq, day, path, payload (null: deletion)."""
     e = table(spark, sf_dir, "events")
     payload = row_document({"_id": long_id(F.col("user_id")), "props": F.replace(F.col("props"), F.lit(" "), F.lit("")), "type": F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))})
     path = F.array(F.lit("app"), F.concat(F.lit("g"), F.col("user_id") % 5), F.col("user_id").cast("string"))
-    return e.select(F.col("event_id").alias("seq"), F.dayofmonth("ts").cast("long").alias("day"), path.alias("path"), F.when(F.col("event_type") != "error", payload).alias("payload"))
+    return e.select(F.col("event_id").alias("seq"), day_number(F.col("ts")).alias("day"), path.alias("path"), F.when(F.col("event_type") != "error", payload).alias("payload"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,23 +62,29 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.intervals(daily(spark, sf_dir))
 
 
-def day_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, path and hash of every directory at every commit.
+def directory_changes(spark: SparkSession, sf_dir: str, depth: int = 0, within: list[str] | None = None) -> DataFrame:
+    """path, seq and hash (null: gone) of the directories of at least a depth, at the commits that touch them; within looks at one directory's leaves only."""
+    level, kind, out = daily(spark, sf_dir).select("path", "seq", "hash"), "01", None
+    if within:
+        level = level.where(F.slice("path", 1, len(within)) == F.array(*map(F.lit, within)))
+    for _ in range(2, depth - 1, -1):
+        level, kind = checkpointed(versions_above(level, kind)), "02"
+        out = level if out is None else out.unionByName(level)
+    return out
 
-    Only the leaves' level is an interval join, one row for each version and
-    commit in which it lives; the levels above are small.
-    """
-    v = versions(spark, sf_dir)
+
+def day_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, path and hash of every directory at every commit: each version stands until the next."""
     days = daily(spark, sf_dir).select("seq").distinct()
-    at = v.join(F.broadcast(days), (F.col("valid_from") <= F.col("seq")) & (F.col("seq") < F.coalesce("valid_to", F.lit(999))))
-    level = at.select("seq", F.slice("path", 1, 2).alias("path"), F.element_at("path", 3).alias("name"), F.lit("01").alias("kind"), "hash")
-    out = None
-    for n in (2, 1, 0):
-        here = directory_hashes(level, ["seq", "path"])
-        out = here if out is None else out.unionByName(here)
-        if n:
-            level = here.select("seq", F.slice("path", 1, n - 1).alias("path"), F.element_at("path", n).alias("name"), F.lit("02").alias("kind"), "hash")
-    return out
+    last = days.agg(F.max("seq").alias("last"))
+    v = history.intervals(directory_changes(spark, sf_dir)).crossJoin(F.broadcast(last))  # one row
+    until = F.coalesce(F.col("valid_to") - 1, F.col("last"))
+    return v.select("path", "hash", F.explode(F.sequence("valid_from", until)).alias("seq")).join(days, "seq", "left_semi").select("seq", "path", "hash")
+
+
+def commit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and root of every commit: each touches its root."""
+    return directory_changes(spark, sf_dir).where((F.size("path") == 0) & F.col("hash").isNotNull()).select("seq", F.col("hash").alias("root"))
 
 
 def document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,12 +181,6 @@ _COMMIT = """'tree ' || root || chr(10) || CASE WHEN parent IS NULL THEN '' ELSE
         || 'committer' || chr(9) || 'app' || chr(9) || 'app@example.org' || chr(9) || 'events' || chr(9) || nanos || chr(10) || 'process' || chr(9) || 'daily' || chr(9) || '1' || chr(9) || '-' || chr(9) || '-' || chr(10) || chr(10) || 'day ' || seq"""
 
 
-def _commit_text(root, parent, seq):
-    who = F.concat(F.lit("\tapp\tapp@example.org\tevents\t"), (seq * 1_000_000_000).cast("string"), F.lit("\n"))
-    up = F.when(parent.isNull(), "").otherwise(F.concat(F.lit("parent "), parent, F.lit("\n")))
-    return F.concat(F.lit("tree "), root, F.lit("\n"), up, F.lit("author"), who, F.lit("committer"), who, F.lit("process\tdaily\t1\t-\t-\n\nday "), seq.cast("string"))
-
-
 _CHAIN = f"""WITH RECURSIVE {sql.HISTORY}, {sql.DIRECTORIES}, roots AS (SELECT day AS seq, hash AS root, row_number() OVER (ORDER BY day) AS n FROM t0),
     step AS (SELECT n, seq, root, NULL::VARCHAR AS parent, (seq * 1000000000)::VARCHAR AS nanos FROM roots WHERE n = 1),
     chain AS (SELECT n, seq, root, parent, sha256(unhex('03' || {sql.leb('strlen(t)')} || {sql.text_hex('t')})) AS hash FROM (SELECT *, {_COMMIT} AS t FROM step)
@@ -183,17 +190,23 @@ _CHAIN = f"""WITH RECURSIVE {sql.HISTORY}, {sql.DIRECTORIES}, roots AS (SELECT d
 
 @query(f"{_CHAIN} SELECT seq, root, parent, hash FROM chain")
 def commit_chain(spark, sf_dir):
-    """Roots of all commits in one plan; only the fold over the chain is sequential, and it is an expression."""
-    roots = day_trees(spark, sf_dir).where(F.size("path") == 0).select("seq", F.col("hash").alias("root"))
-    ordered = roots.agg(F.array_sort(F.collect_list(F.struct("seq", "root"))).alias("roots"))
-    start = F.array().cast("array<struct<seq:bigint,root:string,parent:string,hash:string>>")
+    """Roots of all commits in one plan; only the chain is sequential: one task that holds one hash."""
+    who = {"name": "app", "email": "app@example.org", "source": "events"}
+    process = {"name": "daily", "version": "1", "params": "-", "correlation_id": "-"}
 
-    def step(done, r):
-        up = F.when(F.size(done) > 0, F.element_at(done, -1)["hash"])
-        own = object_hash("03", F.hex(_commit_text(r["root"], up, r["seq"])))
-        return F.concat(done, F.array(F.struct(r["seq"].alias("seq"), r["root"].alias("root"), up.alias("parent"), own.alias("hash"))))
+    def chained(batches):
+        last = None
+        for batch in batches:
+            rows = []
+            for seq, root in zip(batch["seq"].tolist(), batch["root"]):
+                payload = commit_payload(root, last, who, who, process, seq * 1_000_000_000, f"day {seq}".encode())
+                own = digest(envelope(3, payload)).hex()
+                rows.append((seq, root, last, own))
+                last = own
+            yield pd.DataFrame(rows, columns=["seq", "root", "parent", "hash"])
 
-    return ordered.select(F.explode(F.aggregate("roots", start, step)).alias("c")).select("c.*")
+    roots = commit_roots(spark, sf_dir).coalesce(1).sortWithinPartitions("seq")
+    return roots.mapInPandas(chained, "seq long, root string, parent string, hash string")
 
 
 # states
@@ -204,7 +217,7 @@ def batch_last_write(spark, sf_dir):
     return history.last_write(table(spark, sf_dir, "events").withColumn("o", F.col("event_id")), ["user_id"], "o", ["event_type", "event_id"])
 
 
-@query(f"WITH {sql.HISTORY} SELECT array_to_string(path, '/') AS path, hash FROM live WHERE valid_from <= 10 AND 10 < coalesce(valid_to, 999)")
+@query(f"WITH {sql.HISTORY} SELECT array_to_string(path, '/') AS path, hash FROM live WHERE valid_from <= 10 AND (valid_to IS NULL OR 10 < valid_to)")
 def snapshot_asof_commit(spark, sf_dir):
     return history.as_of(daily(spark, sf_dir), 10).select(shown(), "hash")
 
@@ -224,7 +237,7 @@ def leaf_intervals(spark, sf_dir):
 # differences
 
 _DIFF = "SELECT CASE WHEN a.hash IS NULL THEN 'A' WHEN b.hash IS NULL THEN 'D' ELSE 'M' END AS status, array_to_string(path, '/') AS path, a.hash AS old_hash, b.hash AS new_hash FROM {a} a FULL JOIN {b} b USING (path) WHERE a.hash IS DISTINCT FROM b.hash"
-_STATE = "(SELECT path, hash FROM live WHERE valid_from <= {d} AND {d} < coalesce(valid_to, 999))"
+_STATE = "(SELECT path, hash FROM live WHERE valid_from <= {d} AND (valid_to IS NULL OR {d} < valid_to))"
 
 
 def _shown_diff(rows):
@@ -293,7 +306,7 @@ def log_path_blob(spark, sf_dir):
 
 @query(f"WITH {sql.HISTORY}, {sql.DIRECTORIES}, s AS (SELECT day AS seq, hash, lag(hash) OVER (ORDER BY day) AS before FROM t2 WHERE grp = 'g1') SELECT seq, hash, CASE WHEN before IS NULL THEN 'added' WHEN hash IS NULL THEN 'deleted' ELSE '' END AS annotation FROM s WHERE hash IS DISTINCT FROM before")
 def log_path_tree(spark, sf_dir):
-    own = day_trees(spark, sf_dir).where(F.col("path") == F.array(F.lit("app"), F.lit("g1")))
+    own = directory_changes(spark, sf_dir, 2, ["app", "g1"])
     return history.path_log(own.select("seq", "hash"))
 
 
@@ -322,16 +335,16 @@ def resolve_head_n(spark, sf_dir):
     return days.join(F.broadcast(head), F.col("seq") == F.col("head") - 3).select("seq", (F.col("head") - F.col("seq")).alias("back"))
 
 
-@query(f"WITH {sql.HISTORY} SELECT array_to_string(path, '/') AS path, hash, payload FROM live WHERE valid_from <= 12 AND 12 < coalesce(valid_to, 999) AND path = ['app', 'g2', '7']")
+@query(f"WITH {sql.HISTORY} SELECT array_to_string(path, '/') AS path, hash, payload FROM live WHERE valid_from <= 12 AND (valid_to IS NULL OR 12 < valid_to) AND path = ['app', 'g2', '7']")
 def show_path(spark, sf_dir):
     own = daily(spark, sf_dir).where(F.col("path") == F.array(F.lit("app"), F.lit("g2"), F.lit("7")))
     return history.as_of(own, 12, ("hash", "payload")).select(shown(), "hash", "payload")
 
 
-@query(f"WITH {sql.HISTORY} SELECT path[3] AS path, hash FROM live WHERE valid_from <= 12 AND 12 < coalesce(valid_to, 999) AND path[1] = 'app' AND path[2] = 'g2'")
+@query(f"WITH {sql.HISTORY} SELECT path[3] AS path, hash FROM live WHERE valid_from <= 12 AND (valid_to IS NULL OR 12 < valid_to) AND path[1] = 'app' AND path[2] = 'g2'")
 def show_tree(spark, sf_dir):
     own = daily(spark, sf_dir).where((F.element_at("path", 1) == "app") & (F.element_at("path", 2) == "g2"))
-    return history.as_of(own, 12).select(F.array_join(F.slice("path", 3, 99), "/").alias("path"), "hash")
+    return history.as_of(own, 12).select(F.array_join(F.slice("path", 3, F.size("path") - 2), "/").alias("path"), "hash")
 
 
 @query(f"{_CHAIN}, d AS (SELECT day AS seq, path, hash, lag(hash) OVER (PARTITION BY path ORDER BY day) AS before FROM daily) SELECT c.seq, c.hash, c.root, c.parent, count(*) FILTER (WHERE d.hash IS DISTINCT FROM d.before) AS n_changed FROM chain c JOIN d USING (seq) WHERE c.seq = 15 GROUP BY ALL")
@@ -483,11 +496,11 @@ def pipe_frames(spark, sf_dir):
     return rows.join(seqs, ["file", "ord"]).select(F.col("seq").cast("long").alias("seq"), shown(), F.decode("payload", "utf-8").alias("payload"))
 
 
-@query()
+@query(f"WITH {sql.HISTORY} SELECT path[2] AS coll, valid_from, count(*) AS n_versions, count(DISTINCT hash) AS n_blobs FROM live GROUP BY ROLLUP (path[2], valid_from)")
 def object_statistics(spark, sf_dir):
-    """Versions, collections and sizes of the history, by rollup; the reference inventory is its base."""
+    """Versions and distinct blobs of the history, by collection and commit, by collection, and of all."""
     v = versions(spark, sf_dir)
-    return v.rollup(F.element_at("path", 2).alias("coll"), "valid_from").agg(F.count("*").alias("n_versions"), F.approx_count_distinct("hash").alias("n_blobs"))
+    return v.rollup(F.element_at("path", 2).alias("coll"), "valid_from").agg(F.count("*").alias("n_versions"), F.count_distinct("hash").alias("n_blobs"))
 
 
 @query(f"{_CHAIN}, c AS (SELECT day AS seq, path, hash, lag(hash) OVER (PARTITION BY path ORDER BY day) AS before FROM daily), d AS (SELECT seq, CASE WHEN before IS NULL THEN 'A' WHEN hash IS NULL THEN 'D' ELSE 'M' END || ' ' || array_to_string(path, '/') AS line FROM c WHERE hash IS DISTINCT FROM before), m AS (SELECT seq, count(*) AS k FROM d GROUP BY seq) SELECT seq, CASE WHEN k = 1 THEN 'commit ' || hash[1:7] || '  ' || line ELSE '  ' || line END AS line FROM d JOIN m USING (seq) JOIN chain USING (seq) UNION ALL SELECT seq, 'commit ' || hash[1:7] || '  ' || k || ' events' FROM m JOIN chain USING (seq) WHERE k > 1")
@@ -497,7 +510,7 @@ def commit_summary(spark, sf_dir):
     n = d.groupBy("seq").agg(F.count("*").alias("n"))
     head = n.join(commit_chain(spark, sf_dir).select("seq", F.substring("hash", 1, 7).alias("abbr")), "seq")
     one = F.concat(F.lit("commit "), "abbr", F.lit("  "))
-    lines = d.join(F.broadcast(head), "seq").select("seq", F.when(F.col("n") == 1, F.concat(one, "text")).otherwise(F.concat(F.lit("  "), "text")).alias("line"))
+    lines = d.join(head, "seq").select("seq", F.when(F.col("n") == 1, F.concat(one, "text")).otherwise(F.concat(F.lit("  "), "text")).alias("line"))
     return lines.unionByName(head.where("n > 1").select("seq", F.concat(one, F.col("n").cast("string"), F.lit(" events")).alias("line")))
 
 
@@ -562,8 +575,9 @@ def stream_commit(spark, sf_dir):
     path = F.array(F.lit("app"), F.concat(F.lit("g"), F.col("user_id") % 5), F.col("user_id").cast("string"))
     rows = e.select(
         F.col("event_id").alias("seq"), F.lit("data").alias("class"), path.alias("path"), F.when(F.col("event_type") != "error", payload).alias("payload"),
-        F.floor((F.dayofmonth("ts") - 1) / 10).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("nanos"), F.col("event_id").cast("string").alias("token"),
+        F.floor((day_number(F.col("ts")) - 1) / 10).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("nanos"), F.col("event_id").cast("string").alias("token"),
     )
     with Repo(spark, at, writable=True) as repo:
         watch(repo, rows, f"{at}/stream").awaitTermination()
+        drain(repo)
     return history.changed_per_commit(Repo(spark, at).table("leaf_changes")).groupBy("seq").agg(F.count("*").alias("n"))

@@ -29,7 +29,7 @@ def entry(kind: str, child: str, name: str) -> str:
 
 #: events as changes: a document per user, five collections, a commit a day; an error deletes
 HISTORY = f"""
-    ev AS (SELECT event_id AS seq, extract(day FROM ts)::BIGINT AS day, ['app', 'g' || (user_id % 5), user_id::VARCHAR] AS path, event_type = 'error' AS dead,
+    ev AS (SELECT event_id AS seq, date_diff('day', DATE '2023-12-31', ts::DATE) AS day, ['app', 'g' || (user_id % 5), user_id::VARCHAR] AS path, event_type = 'error' AS dead,
         '{{"_id":{{"$numberLong":"' || user_id || '"}},"props":' || replace(props, ' ', '') || ',"type":"' || event_type || '"}}' AS payload FROM events),
     hashed AS (SELECT *, CASE WHEN NOT dead THEN {blob_hash('payload')} END AS hash FROM ev),
     daily AS (SELECT path, day, first(hash ORDER BY seq DESC) AS hash, first(CASE WHEN NOT dead THEN payload END ORDER BY seq DESC) AS payload FROM hashed GROUP BY path, day),
@@ -40,7 +40,7 @@ HISTORY = f"""
 DIRECTORIES = f"""
     days AS (SELECT DISTINCT day FROM daily),
     d2 AS (SELECT day, path[1] AS app, path[2] AS grp, string_agg({entry('01', 'hash', 'path[3]')}, '' ORDER BY path[3]) AS p
-        FROM days JOIN live ON valid_from <= day AND day < coalesce(valid_to, 999) GROUP BY ALL),
+        FROM days JOIN live ON valid_from <= day AND (valid_to IS NULL OR day < valid_to) GROUP BY ALL),
     t2 AS (SELECT *, {tree_hash('p')} AS hash FROM d2),
     d1 AS (SELECT day, app, string_agg({entry('02', 'hash', 'grp')}, '' ORDER BY grp) AS p FROM t2 GROUP BY ALL),
     t1 AS (SELECT *, {tree_hash('p')} AS hash FROM d1),
