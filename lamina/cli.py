@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .errors import CODES, HistoryError
 from .repo import Meta, Repo
+from .shared import checkpointed
 from .sources.frames import frames_of, response
+from .streaming.changes import EVENT, changes, drain, stop, watch
 
 USAGE = """usage: lamina [--store DIR] COMMAND
   init | info | fsck
   commit-batch                         frames from standard input
+  watch [--follow] FOLDER              change events from JSON files
   log [--oneline] [--paths] [-n N] [-- PATH]
   show REVISION[:PATH]
   diff [REVISION [REVISION]]
@@ -29,21 +32,38 @@ def _rows(df: DataFrame, *columns: str) -> None:
         print("\t".join("/".join(x) if isinstance(x, list) else str(x) for x in r))
 
 
-def commit_frames(repo: Repo, data: bytes, out) -> None:
-    """Commits each frame in turn and answers it; the first bad one ends the stream."""
-    for frame in frames_of(data):
-        if isinstance(frame, HistoryError):
-            out.write(response(frame))
-            raise frame
-        events = [(k, path, payload) for k, (path, payload) in enumerate(frame["events"])]
+def commit_frames(repo: Repo, source, out) -> None:
+    """Commits each frame as it comes and answers it before the next is read; the first bad one ends the stream."""
+
+    def answer(result: HistoryError | str) -> None:
+        out.write(response(result))
+        out.flush()
+
+    for frame in frames_of(source):
         try:
+            if isinstance(frame, HistoryError):
+                raise frame
+            events = [(k, path, payload) for k, (path, payload) in enumerate(frame["events"])]
             rows = repo.spark.createDataFrame(events, "ord long, path array<string>, payload binary")
             own = repo.commit(rows, Meta(frame["ts_nanos"], frame["message"], frame["author"], frame["committer"], frame["process"]))
         except HistoryError as e:
-            out.write(response(e))
+            answer(e)
             raise
-        out.write(response(own))
-        out.flush()
+        answer(own)
+
+
+def watched(spark: SparkSession, store: str, rest: list[str]) -> None:
+    """Commits the change events that lie, or with --follow arrive, as JSON files in a folder; each line is an event with its seq."""
+    follow = "--follow" in rest
+    (folder,) = [x for x in rest if x != "--follow"]
+    with Repo(spark, store, writable=True) as repo:
+        events = spark.readStream.schema(f"seq long, {EVENT}").json(folder)
+        query = watch(repo, changes(events), f"{store}/stream", follow="1 second" if follow else None)
+        try:
+            query.awaitTermination()
+            drain(repo)
+        except KeyboardInterrupt:
+            stop(query, repo)
 
 
 def run(spark: SparkSession, argv: list[str], stdin=None, stdout=None) -> None:
@@ -57,20 +77,26 @@ def run(spark: SparkSession, argv: list[str], stdin=None, stdout=None) -> None:
         Repo.init(spark, store)
     elif command == "commit-batch":
         with Repo(spark, store, writable=True) as repo:
-            commit_frames(repo, (stdin or sys.stdin.buffer).read(), stdout or sys.stdout.buffer)
+            commit_frames(repo, stdin or sys.stdin.buffer, stdout or sys.stdout.buffer)
+    elif command == "watch" and len([x for x in rest if x != "--follow"]) == 1:
+        watched(spark, store, rest)
     elif command == "info":
-        print(json.dumps(Repo(spark, store).info(), indent=1))
+        try:
+            print(json.dumps(Repo(spark, store).info(), indent=1))
+        except HistoryError as e:
+            if e.symbol != "ENOT_FOUND":
+                raise
+            print(json.dumps({"path": store, "initialized": False}, indent=1))
     elif command == "fsck":
         repo = Repo(spark, store)
         if not repo.head():
             print("fsck: no commits")
             return
-        found = repo.fsck().collect()
-        for r in found:
-            print(f"{r.problem} {r.hash}")
-        print(f"fsck: {repo.reachable().count()} reachable, {sum(r.problem == 'dangling' for r in found)} dangling")
-        if bad := [r for r in found if r.problem != "dangling"]:
-            raise HistoryError("ECORRUPT", f"{bad[0].problem} {bad[0].hash}")
+        found = checkpointed(repo.fsck())
+        _rows(found, "problem", "hash")
+        print(f"fsck: {repo.reachable().count()} reachable, {found.where(F.col('problem') == 'dangling').count()} dangling")
+        if bad := found.where(F.col("problem") != "dangling").head():
+            raise HistoryError("ECORRUPT", f"{bad.problem} {bad.hash}")
     elif command == "log":
         path = None
         if "--" in rest:
@@ -121,17 +147,23 @@ def pretty(kind: str, payload: bytes) -> bytes:
 
 
 def _log(repo: Repo, path: list[str] | None, n: int, paths: bool, oneline: bool) -> None:
-    for r in repo.log(path, n).collect():
+    rows = repo.log(path, n)
+    if paths and not oneline:
+        # the changes of all commits shown come with one query, commit by commit
+        told = repo.log(path, 0, paths=True).where("status is not null").join(rows.select("seq"), "seq", "left_semi")
+        changes = told.select("seq", "status", "path").orderBy(F.desc("seq"), "path").toLocalIterator()
+        ahead = next(changes, None)
+    for r in rows.toLocalIterator():
         text = bytes(r.message).decode(errors="replace")
         note = f" ({r.annotation})" if r.annotation else ""
         if oneline:
             print(f"{r.hash[:12]} {text}" + (f" [{r.n_changed} changed]" if paths else "") + note)
             continue
-        who = lambda p: f"{p.name} <{p.email}> {r.ts_nanos}"
+        who = lambda p: f"{p.name} <{p.email}> {r.ts_nanos}"  # noqa: B023, E731
         print(f"commit {r.hash}{note}\nparent {r.parent or '-'}\nauthor {who(r.author)}\ncommitter {who(r.committer)}\n\n    {text}\n")
-        if paths:
-            own = repo.log(path, 0, paths=True).where(F.col("seq") == r.seq).where("status is not null")
-            _rows(own, "status", "path")
+        while paths and ahead and ahead.seq == r.seq:
+            print(f"{ahead.status}\t{'/'.join(ahead.path)}")
+            ahead = next(changes, None)
 
 
 def main() -> int:

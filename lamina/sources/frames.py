@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import re
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +33,21 @@ def _number(raw: bytes, what: str) -> int:
     return int(raw)
 
 
-def _line(f: io.BytesIO) -> bytes:
+def _line(f: BinaryIO) -> bytes:
     line = f.readline()
     if not line.endswith(b"\n"):
         raise HistoryError("EPROTOCOL", "unexpected end of input")
     return line[:-1]
 
 
-def _exact(f: io.BytesIO, n: int) -> bytes:
+def _exact(f: BinaryIO, n: int) -> bytes:
     data = f.read(n)
     if len(data) != n:
         raise HistoryError("EPROTOCOL", "unexpected end of input")
     return data
 
 
-def parse_frame(f: io.BytesIO, first: bytes) -> dict:
+def parse_frame(f: BinaryIO, first: bytes) -> dict:
     """One frame, of which the first line is already read: header fields and events (path, payload or None)."""
     head = first.split(b"\t")
     if head[0] != b"BATCH":
@@ -102,9 +103,9 @@ def write_frame(events: list[tuple[list[str], bytes | None]], author: dict, comm
     return b"".join([*out, b"END\n"])
 
 
-def frames_of(data: bytes):
-    """The frames of a stream, blank lines between them skipped; after the first bad frame comes its error and nothing more."""
-    f = io.BytesIO(data)
+def frames_of(source: bytes | BinaryIO):
+    """The frames of a stream, each as soon as it is whole, blank lines between them skipped; after the first bad frame comes its error and nothing more."""
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
     while True:
         line = f.readline()
         if not line:

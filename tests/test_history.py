@@ -5,7 +5,7 @@ import pytest
 from lamina.errors import HistoryError
 from lamina.operators import history
 from lamina.operators.apply import applied, check
-from lamina.operators.trees import build
+from lamina.operators.trees import build, versions_above
 from lamina.functions.codec import digest, envelope, tree_payload
 
 PATH = "path array<string>"
@@ -149,3 +149,20 @@ def test_format_template(spark):
     for bad in ("%X", "%"):
         with pytest.raises(HistoryError, match="EINVAL"):
             history.formatted(bad, {"H": history.F.lit("h")})
+
+
+def test_versions_above_against_every_commit(spark):
+    """The directories at the commits that touch them are those of the whole state there."""
+    r = random.Random(5)
+    rows, state, want = [], {}, {}
+    for seq in range(20):
+        for name in r.sample("abc", 1):
+            path = (r.choice("xy"), name)
+            dead = r.random() < 0.6
+            rows = [c for c in rows if c[:2] != (list(path), seq)] + [(list(path), seq, None if dead else f"{r.getrandbits(256):064x}")]
+            state[path] = rows[-1][2]
+        for d in {c[0][0] for c in rows if c[1] == seq}:
+            live = [(1, bytes.fromhex(h), p[1]) for p, h in state.items() if p[0] == d and h]
+            want[d, seq] = digest(envelope(2, tree_payload(live)), "sha2-256").hex() if live else None
+    got = versions_above(spark.createDataFrame(rows, "path array<string>, seq long, hash string"))
+    assert {(x.path[0], x.seq): x.hash for x in got.collect()} == want and None in want.values()

@@ -1,9 +1,12 @@
 import json
+import time
 
 import pytest
 
+from lamina import cli
+from lamina.errors import HistoryError
 from lamina.repo import Meta, Repo
-from lamina.streaming.changes import EVENT, carried_runs, changes, commit_runs, grouped_runs
+from lamina.streaming.changes import EVENT, carried_runs, changes, commit_runs, drain, grouped_runs, save_state, state, stop, watch
 
 
 def event(seq, op, ident='"a"', doc=None, txn=None, coll="c"):
@@ -19,7 +22,7 @@ def test_events_become_changes(spark):
     assert got[1].path == ["db", "c", '{"$oid":"x"}'] and got[1].payload == '{"_id":2,"b":1}' and got[1].nanos == 10_000_000_001 and got[1].token == "t1"
     assert got[2].path == ["db", "c", "7"] and got[2].payload is None and got[2]["class"] == "data"
     assert [got[k]["class"] for k in (3, 4, 5, 6, 7)] == ["ignored", "ignored", "rebuild", "ignored", "data"]
-    assert got[7].path[2] == '"q\\"x"' and got[7].key == '{"id": 1}/5'
+    assert got[7].path[2] == '"q\\"x"' and got[7].key == '{"id":1}/5'
 
 
 def test_runs_end_at_what_is_between(spark):
@@ -53,3 +56,90 @@ def test_runs_are_committed_once(spark, tmp_path):
         assert json.loads(repo.show_path("HEAD", ["db", "d", '"b"'])) == {"v": 1}
         with pytest.raises(Exception, match="EMALFORMED"):
             repo.commit(batch.limit(0).select("seq", "path", "payload").withColumnRenamed("seq", "ord"), Meta(1))
+
+
+def test_events_that_lack_something_are_malformed(spark, tmp_path):
+    told = [event(1, "insert", None, "{}"), event(2, "insert"), event(3, "delete", None), event(4, "update", None), event(5, "replace", '"a"', "{}", coll=None), (6, (None,), *event(6, "insert", doc="{}")[2:]), event(7, "update"), event(8, "modify", None), event(9, "drop", None)]
+    got = [r["class"] for r in rows(spark, *told).orderBy("seq").collect()]
+    assert got == ["malformed"] * 6 + ["ignored", "ignored", "rebuild"]
+    at = str(tmp_path / "store")
+    Repo.init(spark, at)
+    with Repo(spark, at, writable=True) as repo:
+        with pytest.raises(HistoryError, match="EADAPTER: event 2"):
+            commit_runs(repo, rows(spark, event(1, "delete"), event(2, "insert")), "w", 0)
+        with pytest.raises(HistoryError, match="EADAPTER.*anew"):
+            commit_runs(repo, rows(spark, event(1, "drop", None)), "w", 0)
+        assert repo.head() is None
+
+
+def test_two_spellings_of_a_session_are_one_transaction(spark):
+    a, b = event(1, "insert", doc="{}", txn=1), event(2, "insert", doc="{}", txn=1)
+    b = (*b[:7], '{ "id":1 }', 1)
+    assert {r.run_id for r in grouped_runs(rows(spark, a, b)).collect()} == {1}
+
+
+def _arrive(spark, folder, name, *events):
+    """A file of events as JSON lines, which a stream sees as a whole."""
+    spark.createDataFrame([*events], f"seq long, {EVENT}").coalesce(1).write.json(f"{folder}/{name}")
+
+
+def test_a_transaction_over_micro_batches_is_one_commit(spark, tmp_path):
+    at, folder = str(tmp_path / "store"), str(tmp_path / "in")
+    Repo.init(spark, at)
+    doc = '{"v": 1}'
+    _arrive(spark, folder, "0", event(1, "insert", '"a"', doc), event(2, "insert", '"b"', doc, 1))
+    _arrive(spark, folder, "1", event(3, "insert", '"c"', doc, 1, "d"))
+    _arrive(spark, folder, "2", event(4, "insert", '"d"', doc, 1), event(5, "insert", '"e"', doc), event(6, "insert", '"f"', doc, 2))
+    stream = changes(spark.readStream.schema(f"seq long, {EVENT}").option("maxFilesPerTrigger", 1).json(f"{folder}/*"))
+    with Repo(spark, at, writable=True) as repo:
+        watch(repo, stream, f"{at}/stream").awaitTermination()
+        told = lambda: [sorted(r.path[2] for r in repo.diff(f"HEAD~{k}").collect()) for k in range(repo.head()[0])]
+        assert repo.head()[0] == 2 and told() == [['"e"'], ['"b"', '"c"', '"d"']]
+        assert drain(repo) == 1 and drain(repo) == 0  # the stream ended in the second transaction
+        assert told() == [['"f"'], ['"e"'], ['"b"', '"c"', '"d"']]
+        assert state(repo)["resume_token"] == "t6"
+
+
+def test_a_watch_follows_its_source_until_it_is_stopped(spark, tmp_path):
+    at, folder = str(tmp_path / "store"), str(tmp_path / "in")
+    Repo.init(spark, at)
+    asked = []
+    source = spark.createDataFrame([(["db", "c", '"old"'], b'{"v":0}')], "path array<string>, payload binary")
+    _arrive(spark, folder, "0", event(1, "insert", '"a"', "{}"))
+    stream = changes(spark.readStream.schema(f"seq long, {EVENT}").json(f"{folder}/*"))
+    with Repo(spark, at, writable=True) as repo:
+        query = watch(repo, stream, f"{at}/stream", bootstrap=lambda: asked.append("scan") or source, start_token=lambda: asked.append("token") or "t0", follow="200 milliseconds")
+        assert asked == ["token", "scan"]  # what is written during the scan comes with the stream
+        assert "bootstrap of 1 documents" in open(f"{at}/log").read()
+
+        def wait(n):
+            end = time.time() + 240
+            while (repo.head() or (-1,))[0] < n and time.time() < end and query.exception() is None:
+                time.sleep(0.2)
+            assert repo.head()[0] == n
+
+        wait(1)
+        _arrive(spark, folder, "1", event(2, "insert", '"b"', "{}", 4))
+        end = time.time() + 240
+        while state(repo)["resume_token"] != "t2" and time.time() < end:
+            time.sleep(0.2)
+        assert query.isActive and repo.head()[0] == 1  # the transaction may go on
+        assert stop(query, repo) == 1 and repo.head()[0] == 2
+        # a token that can't be gone on from: the source is read anew
+        save_state(repo, None)
+        with pytest.raises(HistoryError, match="EADAPTER"):
+            watch(repo, stream, f"{at}/stream")
+        watch(repo, stream, f"{at}/stream", rebuild=lambda: source).awaitTermination()
+        assert repo.head()[0] == 3 and state(repo)["resume_token"] == "start" and [r.path[2] for r in repo.leaves(3).collect()] == ['"old"']
+    with open(f"{at}/adapter-state", "w") as f:
+        f.write("{")
+    with pytest.raises(HistoryError, match="ECORRUPT"):
+        state(Repo(spark, at))
+
+
+def test_watch_command(spark, tmp_path):
+    at, folder = str(tmp_path / "store"), str(tmp_path / "in")
+    Repo.init(spark, at)
+    _arrive(spark, folder, "0", event(1, "insert", '"a"', "{}", 1), event(2, "insert", '"b"', "{}", 1))
+    cli.run(spark, ["--store", at, "watch", f"{folder}/*"])
+    assert Repo(spark, at).head()[0] == 0 and Repo(spark, at).leaves(0).count() == 2
