@@ -111,11 +111,21 @@ def best_cut(held: DataFrame, value: Callable[[np.ndarray, np.ndarray, float, fl
     return top.score, top.low
 
 
-def scratch_table(df: DataFrame, kind: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def scratch_at(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder for a table."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, at: str) -> DataFrame:
+    """df, written as Parquet to a path and read again."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def dropped(spark: SparkSession, at: str) -> None:
+    """Removes a scratch table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_share(rows: DataFrame, key: str, most: int) -> DataFrame:

@@ -300,6 +300,9 @@ def extracted(pages: DataFrame, docs: DataFrame) -> DataFrame:
     certainty is the mean probability of the decisions on the page's texts. A
     null, empty or textless page has an empty text, no blocks and certainty
     1; broken markup is read as browsers do; repeated rows are each reported.
+    Pages are read whole, however long; a probability of exactly one half is
+    content. page_ids are of any type, other columns are ignored, whatever
+    their names.
     """
     w, pair = taught(pages, docs)
     kind = pages.schema["page_id"].dataType.simpleString()
