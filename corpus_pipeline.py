@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import decontaminate, exact_dedup, packing, quality, simhash
-from lamina.llm.common import scratch_table
+from lamina.llm.common import dropped, scratch_at, scratch_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slots of the documents that the stages keep; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The slots of the documents that the stages keep; each stage's rows are written to the shared folder and read again, until the next stage's are there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        at = scratch_at(spark, name.replace(" ", "-"))
+        docs = scratch_table(stage(spark, docs, sf_dir), at)
+        if last:
+            dropped(spark, last)
+        last = at
     return STAGES[-1][1](spark, docs, sf_dir)
