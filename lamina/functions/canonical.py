@@ -22,7 +22,7 @@ _DEEPEST = 500
 
 
 def canonical_json(text: str) -> str:
-    """Raises EMALFORMED for what isn't one JSON value; an atom may be any run of other characters."""
+    """Raises EMALFORMED for what isn't one JSON value, or one nested more than 500 deep; an atom may be any run of other characters."""
     tokens = []
     at = 0
     body = text.rstrip(" \t\r\n")
