@@ -8,13 +8,19 @@ is sent once to the task that searches it, and only a shard of more than
 SHARD_ROWS fingerprints is cut into slices, each of which gets all the shard's
 queries. In its task a slice is a forest of BK-trees: children are keyed by
 their Hamming distance to the parent, and a search follows only the edges
-within the radius of the query's distance. The links found connect exactly
+within the radius of the query's distance. Blocks are taken in runs: in one of
+them two near fingerprints differ in fewer bits than the run has blocks, so the
+shard of the run's first block in which they agree has few of the run's other
+bits left to differ in, and there is a tree for each value of these. Searches
+go depth first in steps of VISITS nodes, which bounds a worker's memory however
+many trees are met and however wide they are. The links found connect exactly
 what brute force would, whatever the number of shards and slices.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -27,14 +33,18 @@ from .common import checkpointed, hashed_tokens, in_batches, mix, partitions, sm
 
 BITS = 128
 RADIUS = 17
-#: Queries searched at once, which bounds a worker's memory.
-CHUNK = 4096
+#: Nodes compared at once, and a fourth of the children looked at, which bounds a worker's memory.
+VISITS = 1 << 15
+#: Links held before they are reduced to those that connect the same.
+LINKS = 1 << 19
+#: Blocks in a run.
+RUN = 3
 #: Fingerprints in one task's trees, at most.
 SHARD_ROWS = 1 << 20
 #: Fingerprints of small shards that are searched at once.
 POOL_ROWS = 1 << 15
 #: Rows that a task holds before it sends them to their shards.
-FLUSH_ROWS = 1 << 21
+FLUSH_ROWS = 1 << 19
 #: What sending a fingerprint to one more shard costs, in nodes visited.
 SEND_WORK = 300
 #: Bytes sent to one task of the search, about.
@@ -97,23 +107,57 @@ def masks(width: int, near: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for k in range(near + 1) for bits in combinations(range(width), k)], np.uint64)
 
 
+def joined_values(fps: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """The values of some blocks, one beside the other."""
+    out = np.zeros(len(fps), np.uint64)
+    for first, width in cuts:
+        out = out << np.uint64(width) | block_values(fps, first, width)
+    return out
+
+
+def run_parts(radius: int) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
+    """For each of radius + 1 blocks, the other blocks of its run and the flips of their bits that it answers for.
+
+    Two fingerprints within the radius differ, in some run, in fewer bits than
+    the run has blocks, so they agree in one of its blocks; the first such
+    answers for them, and the run's blocks before it differ. No flip is there
+    always, as linking needs.
+    """
+    cuts, out = blocks(radius + 1), []
+    for k in range(radius + 1):
+        run = range(k - k % RUN, min(k - k % RUN + RUN, radius + 1))
+        others = [cuts[i] for i in run if i != k]
+        flips = masks(sum(w for _, w in others), len(run) - 1)
+        keep, right = np.ones(len(flips), bool), sum(w for _, w in others)
+        for i in range(run[0], k):
+            right -= cuts[i][1]
+            keep &= (flips >> np.uint64(right) & np.uint64((1 << cuts[i][1]) - 1)) > 0
+        out.append((others, flips[keep | (flips == 0)]))
+    return out
+
+
+def in_runs(radius: int, c: int) -> bool:
+    """Whether shards that agree in c blocks are searched by runs; wide blocks, or several that agree, are searched in blocks of their own."""
+    return c == 1 and (RUN - 1) * max(w for _, w in blocks(radius + 1)) <= 40
+
+
 class ShardTrees:
     """A BK-tree for each value of shard: nodes are positions in fps, kept as arrays."""
 
     def __init__(self, shard: np.ndarray, fps: np.ndarray):
-        self.fps = fps
+        self.low, self.high = np.ascontiguousarray(fps[:, 0]), np.ascontiguousarray(fps[:, 1])
         n = len(fps)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard, kind="stable").astype(np.int32)
         self.values, first = np.unique(shard[order], return_index=True)
-        self.roots = order[first].astype(np.int64)
+        self.roots = order[first]
         sizes = np.diff(np.append(first, n))
         parent = np.repeat(self.roots, sizes)
         rest = np.ones(n, bool)
         rest[first] = False
-        item, parent = order[rest].astype(np.int64), parent[rest]
+        item, parent = order[rest], parent[rest]
         edges = []
         while len(item):
-            d = hamming(fps[item], fps[parent])
+            d = np.bitwise_count(self.low[item] ^ self.low[parent]) + np.bitwise_count(self.high[item] ^ self.high[parent])
             by = np.lexsort((item, d, parent))
             item, parent, d = item[by], parent[by], d[by]
             new = np.ones(len(item), bool)
@@ -122,10 +166,10 @@ class ShardTrees:
             heads = np.flatnonzero(new)
             child = np.repeat(item[new], np.diff(np.append(heads, len(item))))
             item, parent = item[~new], child[~new]  # the others go down to the child on their edge
-        p, d, c = (np.concatenate(x) if edges else np.zeros(0, np.int64) for x in (zip(*edges) if edges else ([], [], [])))
+        p, d, c = (np.concatenate(x) if edges else np.zeros(0, np.int32) for x in (zip(*edges) if edges else ([], [], [])))
         by = np.lexsort((d, p))
         self.child, self.edge = c[by], d[by].astype(np.int16)
-        self.ptr = np.searchsorted(p[by], np.arange(n + 1))
+        self.ptr = np.searchsorted(p[by], np.arange(n + 1)).astype(np.int32)
 
     def search(self, shard: np.ndarray, query: np.ndarray, fps: np.ndarray, radius: int, linking: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) within the radius; query[i] is to be looked for in the tree of shard[i].
@@ -141,20 +185,36 @@ class ShardTrees:
         return self.descend(query[hit], self.roots[at[hit]], fps, radius, linking)
 
     def descend(self, query: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int, linking: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        while len(query):
-            d = hamming(fps[query], self.fps[node])
+        low, high = fps[:, 0], fps[:, 1]
+        found, todo = [], [(query, node)]
+        while todo:
+            query, node = todo.pop()
+            if len(query) > VISITS:
+                todo.append((query[VISITS:], node[VISITS:]))
+                query, node = query[:VISITS], node[:VISITS]
+            a = self.ptr[node]
+            n = self.ptr[node + 1] - a
+            ends = np.cumsum(n)
+            if len(query) > 1 and ends[-1] > 4 * VISITS:
+                k = max(1, int(np.searchsorted(ends, 4 * VISITS, "right")))
+                todo.append((query[k:], node[k:]))
+                query, node, a, n = query[:k], node[:k], a[:k], n[:k]
+            d = (np.bitwise_count(low[query] ^ self.low[node]) + np.bitwise_count(high[query] ^ self.high[node])).astype(np.int16)
             near = d <= radius
-            found.append((query[near], node[near]))
-            a, n = self.ptr[node], self.ptr[node + 1] - self.ptr[node]
-            some = n > 0
+            if near.any():
+                found.append((query[near], node[near]))
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
             query, d, a, n = query[some], d[some], a[some], n[some]
             which = np.repeat(np.arange(len(query)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + a[which]
-            follow = np.abs(self.edge[k] - d[which]) <= radius
+            k = np.arange(len(which)) + np.repeat(a - np.cumsum(n) + n, n)
+            edge, d = self.edge[k], d[which]
+            follow = np.abs(edge - d) <= radius
             if linking:
-                follow &= (self.edge[k] > radius) | (d[which] > radius)
-            query, node = query[which[follow]], self.child[k[follow]]
+                follow &= (edge > radius) | (d > radius)
+            if follow.any():
+                todo.append((query[which[follow]], self.child[k[follow]]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -205,52 +265,61 @@ def agreeing(n: int, radius: int, shard_rows: int) -> int:
 
 
 def shards(fps: np.ndarray, radius: int, c: int) -> np.ndarray:
-    """The shards of each fingerprint, a column for each choice of c of radius + c blocks."""
+    """The shards of each fingerprint, a column for each choice of c of radius + c blocks; the choice's number is above the blocks' values."""
     cuts = blocks(radius + c)
     values = [block_values(fps, *b) for b in cuts]
+    most = np.uint64(max(w for _, w in cuts))
     out = []
     for k, chosen in enumerate(combinations(range(len(cuts)), c)):
         key = np.full(len(fps), k, np.uint64)
         for b in chosen:
-            key = key << np.uint64(cuts[b][1]) | values[b]
+            key = key << most | values[b]
         out.append(key.view(np.int64))
     return np.stack(out, 1)
 
 
 class Searcher:
-    """The trees of some fingerprints, which are in groups that don't meet, in the blocks whose work is least for the groups' size."""
+    """The trees of some fingerprints, which are in groups that don't meet: those of a block's run, if the groups are shards of that block, else those of the blocks whose work is least for the groups' size."""
 
-    def __init__(self, fps: np.ndarray, group: np.ndarray, radius: int):
+    def __init__(self, fps: np.ndarray, group: np.ndarray, radius: int, block: int | None = None):
         self.radius = radius
         sizes = np.bincount(group)
-        m = block_count(int((sizes.astype(float) ** 2).sum() / max(len(fps), 1)), radius)
+        if block is None:
+            m = block_count(int((sizes.astype(float) ** 2).sum() / max(len(fps), 1)), radius)
+            parts = [([b], masks(b[1], radius // m)) for b in blocks(m)]
+        else:
+            parts = [run_parts(radius)[block]]
         self.parts = []
-        for first, width in blocks(m):
-            tree = ShardTrees(group.astype(np.uint64) << np.uint64(width) | block_values(fps, first, width), fps)
+        for cuts, flips in parts:
+            width = sum(w for _, w in cuts)
+            tree = ShardTrees(group.astype(np.uint64) << np.uint64(width) | joined_values(fps, cuts), fps)
             root = None
             if len(sizes) << width <= 1 << 22:
                 root = np.full(len(sizes) << width, -1, np.int32)
                 root[tree.values.astype(np.int64)] = tree.roots
-            self.parts.append((first, width, tree, root, masks(width, radius // m)))
+            self.parts.append((cuts, width, tree, root, flips))
 
-    def links(self, queries: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (query, node) of links that connect each query to all of its group that is within the radius of it."""
-        left, right = [], []
-        for first, width, tree, root, flips in self.parts:
-            step = max(1, (CHUNK << 8) // len(flips))
+    def links(self, queries: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers (query, node) of links that connect each query to all of its group that is within the radius of it, some at a time.
+
+        The groups' fingerprints must all be queries, here or in another call:
+        of two that differ in a flip, the one whose highest flipped bit is 0
+        asks for the other.
+        """
+        for cuts, width, tree, root, flips in self.parts:
+            highest = np.array([1 << f.bit_length() >> 1 for f in flips.tolist()], np.uint64)
+            step = max(1, 4 * VISITS // len(flips))
             for k in range(0, len(queries), step):
-                values = group[k : k + step].astype(np.uint64) << np.uint64(width) | block_values(queries[k : k + step], first, width)
-                query = np.repeat(np.arange(k, k + len(values)), len(flips))
-                probe = (values[:, None] ^ flips[None, :]).ravel()
+                values = group[k : k + step].astype(np.uint64) << np.uint64(width) | joined_values(queries[k : k + step], cuts)
+                row, flip = np.nonzero((values[:, None] & highest) == 0)
+                probe = values[row] ^ flips[flip]
+                row += k
                 if root is None:
-                    q, node = tree.search(probe, query, queries, self.radius, linking=True)
+                    yield tree.search(probe, row, queries, self.radius, linking=True)
                 else:
                     start = root[probe.astype(np.int64)]
                     hit = start >= 0
-                    q, node = tree.descend(query[hit], start[hit].astype(np.int64), queries, self.radius, linking=True)
-                left.append(q)
-                right.append(node)
-        return np.concatenate(left), np.concatenate(right)
+                    yield tree.descend(row[hit], start[hit], queries, self.radius, linking=True)
 
 
 def _blobs(names: list[np.ndarray], rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
@@ -272,6 +341,7 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_RO
     n = reps.count()
     c = agreeing(n, radius, shard_rows)
     copies = comb(radius + c, c)
+    by_runs, most = in_runs(radius, c), max(w for _, w in blocks(radius + c))
 
     def sized(batches):
         for batch in batches:
@@ -326,18 +396,22 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_RO
             yield from packed(held)
 
     def search(batches):
-        key, held, size, trees, ids, left, right, found = None, [], 0, None, None, [], [], 0
+        key, held, size, trees, ids, left, right, found, reduced_to = None, [], 0, None, None, [], [], 0, 0
 
         def looked(rows, group):
-            nonlocal found
-            for k in range(0, len(rows), CHUNK << 4):
-                own = rows[k : k + (CHUNK << 4)]
-                q, node = trees.links(np.stack([own["lo"], own["hi"]], 1), group[k : k + (CHUNK << 4)])
-                a, b = own["id"][q], ids[node]
-                a, b = forest(a[a != b], b[a != b])
-                left.append(a)
-                right.append(b)
-                found += len(a)
+            nonlocal left, right, found
+            for q, node in trees.links(np.stack([rows["lo"], rows["hi"]], 1), group):
+                a, b = rows["id"][q], ids[node]
+                left.append(a[a != b])
+                right.append(b[a != b])
+                found += len(left[-1])
+                if found > LINKS + reduced_to:
+                    reduced()
+
+        def reduced():
+            nonlocal left, right, found, reduced_to
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            left, right, found, reduced_to = [a], [b], len(a), len(a)
 
         def planted():
             """Trees of the slices that are held, which are searched by their own fingerprints."""
@@ -345,25 +419,28 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_RO
             rows = np.concatenate([r for part in held for r in part])
             group = np.repeat(np.arange(len(held)), [sum(map(len, part)) for part in held])
             held, size, ids = [], 0, rows["id"]
-            trees = Searcher(np.stack([rows["lo"], rows["hi"]], 1), group, radius)
+            trees = Searcher(np.stack([rows["lo"], rows["hi"]], 1), group, radius, block)
             looked(rows, group)
 
         def told():
-            nonlocal left, right, found
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            left, right, found = [], [], 0
-            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            nonlocal left, right, found, reduced_to
+            reduced()
+            out = pa.record_batch([pa.array(left[0]), pa.array(right[0])], ["a", "b"])
+            left, right, found, reduced_to = [], [], 0, 0
+            return out
 
         last = 0  # the number among the trees of the slice that queries are for
+        block = None  # the block that the shards held agree in
         for batch in batches:
             for shard, piece, query, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 rows = np.frombuffer(blob.as_buffer(), _ROW)
                 if (shard, piece) != key:
-                    if size > POOL_ROWS:
+                    of = shard >> most if by_runs else None
+                    if size > POOL_ROWS or size and of != block:
                         planted()
                     elif not size:
                         held = []
-                    key, trees = (shard, piece), None
+                    key, trees, block = (shard, piece), None, of
                     held.append([])
                 if not query:
                     held[-1].append(rows)
@@ -374,9 +451,9 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_RO
                     planted()
                 if trees is not None:  # else the slice got no fingerprints of its own
                     looked(rows, np.full(len(rows), last))
-                if found > FLUSH_ROWS:
+                if found > LINKS:
                     yield told()
-            if found > FLUSH_ROWS:
+            if found > LINKS:
                 yield told()
         if size:
             planted()

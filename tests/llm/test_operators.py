@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -188,6 +189,56 @@ def test_bk_tree_search_is_exact():
     assert set(zip(q.tolist(), node.tolist())) == want and len(q) == len(want)
 
 
+def test_bk_tree_search_is_bounded():
+    """One tree that all queries go through whole: memory follows the steps of a search, not what all queries visit."""
+    r = np.random.default_rng(12)
+    fps = r.integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
+    fps[2000:] = fps[:2000] ^ (np.uint64(1) << r.integers(0, 63, (2000, 2)).astype(np.uint64))
+    trees = simhash.ShardTrees(np.zeros(4000, np.uint64), fps)
+    tracemalloc.start()
+    q, node = trees.search(np.zeros(4000, np.uint64), np.arange(4000), fps, simhash.RADIUS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    got = np.sort(q * 4000 + node)
+    want = np.concatenate([i * 4000 + np.flatnonzero(simhash.hamming(np.repeat(fps[i : i + 1], 4000, 0), fps) <= simhash.RADIUS) for i in range(4000)])
+    assert len(want) >= 8000 and (got == want).all()
+
+
+def test_simhash_of_skewed_fingerprints(spark):
+    """Bits that most fingerprints share crowd some shards and trees; the links connect what brute force does, whole and in slices."""
+    r = np.random.default_rng(13)
+    bits = r.random((1500, 128)) < np.where(r.random(128) < 0.5, 0.93, 0.07)
+    for i in range(1000, 1500):
+        bits[i] = bits[r.integers(0, 1000)]
+        bits[i, r.choice(128, r.integers(14, 21), replace=False)] ^= True
+    fps = np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+    every = np.arange(len(fps))
+    pairs = [(i, every[simhash.hamming(np.repeat(fps[i : i + 1], len(fps), 0), fps) <= 12]) for i in every]
+    a, b = np.repeat(every, [len(x) for _, x in pairs]), np.concatenate([x for _, x in pairs])
+    want = dict(zip(*(x.tolist() for x in simhash.forest(a[a != b], b[a != b]))))
+    assert 50 < len(want) < len(fps)
+    reps = spark.createDataFrame([(i, int(hi), int(lo)) for i, (lo, hi) in enumerate(fps.view(np.int64).tolist())], "id long, hi long, lo long")
+    for limit in (simhash.SHARD_ROWS, 40):
+        edges = simhash.near_edges(reps, 12, limit)
+        assert {x.id: x.root for x in simhash.components(edges).collect()} == want
+
+
+def test_runs_leave_no_pair_out():
+    r = np.random.default_rng(14)
+    a = r.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    for radius in (11, 12, simhash.RADIUS):
+        b = a.copy()
+        for i in range(400):
+            for bit in r.choice(128, radius, replace=False):
+                b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        hit = np.zeros(400, bool)
+        same = simhash.shards(a, radius, 1) == simhash.shards(b, radius, 1)
+        for k, (others, flips) in enumerate(simhash.run_parts(radius)):
+            hit |= same[:, k] & np.isin(simhash.joined_values(a, others) ^ simhash.joined_values(b, others), flips)
+        assert hit.all()
+
+
 def test_blocks_leave_no_pair_out():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 63, (200, 2)).astype(np.uint64)
