@@ -101,15 +101,15 @@ def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(batch)
             rows, size = rows + batch.num_rows, size + batch.nbytes
         if rows >= COMBINE_ROWS or size >= COMBINE_BYTES:
-            yield pa.Table.from_batches(held)
-            held, rows, size = [], 0, 0
+            rows, size = 0, 0
+            yield pa.Table.from_batches([held.pop(0) for _ in range(len(held))])  # and nothing stays here
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches([held.pop(0) for _ in range(len(held))])
 
 
 def combined(content: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The rows that have the least id of their content, nulls being the largest, and how many rows have it; rows without content are alone."""
-    codes = content.combine_chunks().dictionary_encode().indices
+    codes = pa.chunked_array([c.indices for c in content.dictionary_encode().chunks], pa.int32()).combine_chunks()
     alone = codes.is_null().to_numpy(zero_copy_only=False)
     codes = codes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     codes[alone] = len(codes) + np.arange(alone.sum())
@@ -119,6 +119,14 @@ def combined(content: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray
     return row[first], np.diff(np.append(first, len(codes)))
 
 
+def least_copies(table: pa.Table, content: int, ids: int) -> tuple[pa.Table, np.ndarray]:
+    """The table's rows that combined() names, as they lie and in batches as small as its own, and how many rows each stands for; content and ids are columns."""
+    row, n = combined(table.column(content), table.column(ids))
+    stay = np.zeros(table.num_rows, bool)
+    stay[row] = True
+    return table.filter(pa.array(stay)), n[np.argsort(row)]
+
+
 def _firsts(texts: pa.Array, before: pa.Scalar | None) -> np.ndarray:
     """Which rows differ from the one above in full; a null differs from all."""
     same = np.zeros(len(texts), bool)
@@ -144,7 +152,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def combine(batches):
         for table in in_parts(batches):
-            some = table.take(pa.array(np.sort(combined(table.column(width), table.column(at))[0])))
+            some, _ = least_copies(table, width, at)
+            del table
             # most texts are normalised as they are and needn't be sent twice
             content = pc.if_else(pc.equal(some.column(width), some.column(text)), pa.scalar(None, some.column(width).type), some.column(width))
             yield from some.set_column(width, key, content).to_batches()
@@ -170,8 +179,9 @@ def copies(docs: DataFrame) -> DataFrame:
 
     def combine(batches):
         for table in in_parts(batches):
-            row, n = combined(table.column(0), table.column(1))
-            yield from table.take(pa.array(row)).append_column("n", pa.array(n)).to_batches()
+            some, n = least_copies(table, 0, 1)
+            del table
+            yield from some.append_column("n", pa.array(n)).to_batches()
 
     def over(batches):
         held, n, before = None, 0, None

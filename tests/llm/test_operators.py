@@ -73,6 +73,27 @@ def test_exact_dedup_odd(spark, odd):
     assert exact_dedup.dedup(empty(spark)).count() == 0 and exact_dedup.copies(empty(spark)).count() == 0
 
 
+def test_combined_copies_keep_small_batches():
+    """What a task combines is sent on in batches as small as they came, and isn't held while it is."""
+    r = random.Random(15)
+    texts = [None if k % 50 == 7 else f"text {r.randrange(3000)} " * 40 for k in range(8000)]
+    ids = [None if k % 60 == 3 else r.randrange(5000) for k in range(8000)]
+    sent = ([pa.record_batch([pa.array(texts[k : k + 500], pa.string()), pa.array(ids[k : k + 500], pa.int64())], ["content", "id"])] for k in range(0, 8000, 500))
+    parts = exact_dedup.in_parts(b for some in sent for b in some)
+    table = next(parts)
+    rows, n = exact_dedup.least_copies(table, 0, 1)
+    assert max(b.num_rows for b in rows.append_column("n", pa.array(n)).to_batches()) <= 500
+    groups = defaultdict(list)
+    for k, (t, i) in enumerate(zip(texts, ids)):
+        groups[(t, k if t is None else 0)].append((i is None, i or 0))
+    want = Counter((t, None if min(g)[0] else min(g)[1], len(g)) for (t, _), g in groups.items())
+    assert Counter((x["content"], x["id"], k) for x, k in zip(rows.to_pylist(), n.tolist())) == want
+    held = pa.total_allocated_bytes()
+    del table
+    assert pa.total_allocated_bytes() < held - 2_000_000
+    assert list(parts) == []
+
+
 def test_splitters_divide_evenly():
     r = random.Random(2)
     keys = ["license " * 30 + prose(r, 5) for _ in range(2000)]
