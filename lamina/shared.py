@@ -36,3 +36,15 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     elif "://" in base:
         raise ValueError(f"this needs a mounted folder, not {base}")
     return f"{base}/{kind}-{uuid.uuid4().hex}"
+
+
+#: Bytes of rows that Python gets at a time, in place of Spark's 64 MB; one row may be longer.
+ARROW_BYTES = 4 << 20
+
+
+def small_arrow_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now passes ARROW_BYTES at a time to Python unless it was set otherwise: ten thousand long values take hundreds of MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, str(ARROW_BYTES))
+    return df

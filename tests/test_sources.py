@@ -79,3 +79,15 @@ def test_loose_objects(spark, tmp_path):
 def test_frames_need_whole_payloads():
     with pytest.raises(HistoryError, match="EPROTOCOL"):
         frames.parse_frame(io.BytesIO(b""), b"BATCH\t1\t1")
+
+
+def test_frames_stay_bounded_and_name_their_message_once(spark):
+    n = frames.FRAME_EVENTS
+    events = spark.range(n - 3, 2 * n + 7).selectExpr("1L day", "id ord", "array('d', string(id)) path", "if(id % 5 = 0, null, string(id)) payload")
+    files = frames.encode_frames(events, "day")
+    rows = frames.read_frames(files).collect()
+    assert files.count() == 3 and {r.status for r in rows} == {"OK"}
+    assert sorted((int(r.path[1]), r.payload and bytes(r.payload).decode()) for r in rows) == [(k, str(k) if k % 5 else None) for k in range(n - 3, 2 * n + 7)]
+    messages = [r for r in rows if r.message is not None]
+    assert len(messages) == 3 and {r.ord for r in messages} == {0}  # a copy for each event grows with the square
+    assert sorted(len(json.loads(bytes(r.message))["seqs"].split(",")) for r in messages) == [3, 7, n]
