@@ -143,6 +143,28 @@ def test_runs(spark):
     assert [x.run_id for x in rows.orderBy("seq").collect()] == [1, 2, 2, 3, 4, 5, 6, 6]
 
 
+def test_runs_are_counted_in_slices_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(history, "SLICE_ROWS", 7)
+    rnd = random.Random(3)
+    rows = [(2 * k, rnd.choice([None, 1, 2]), None if k < 150 and rnd.random() < 0.3 else "ab"[k >= 150 or rnd.random() < 0.2]) for k in range(300)]
+    rnd.shuffle(rows)
+    events = spark.createDataFrame(rows, "seq long, shard long, key string")
+    for shard in ([], ["shard"]):
+        want, last = {}, {}
+        for seq, own, key in sorted(rows):
+            before, n = last.get(own if shard else 0, (None, 0))
+            n += key is None or key != before
+            last[own if shard else 0] = key, n
+            want[seq] = n
+        assert {x.seq: x.run_id for x in history.runs(events, "key", "seq", shard).collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = history.runs(events, "key", "seq").groupBy(history.F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1  # not all in one
+
+
 def test_format_template(spark):
     f = spark.range(1).select(history.formatted("%H-%%%T", {"H": history.F.lit("h"), "T": history.F.lit("t")}).alias("x"))
     assert f.first().x == "h-%t"
