@@ -123,3 +123,22 @@ def test_config():
 
 def test_error_codes():
     assert len(SYMBOLS) == len(CODES) == 20 and HistoryError("ECORRUPT", "x").code == 7
+
+
+def _lengths(batches):
+    import pandas as pd
+
+    for x in batches:
+        yield pd.DataFrame({"n": [len(x)]})
+
+
+def test_stored_size_takes_texts_in_small_batches(spark, tmp_path):
+    from lamina.functions.codec import compress, envelope
+    from lamina.plans.catalogue import QUERIES
+
+    texts = ["", "é" * 5, *("".join(chr(97 + (k * j * j) % 26) for j in range(k)) for k in range(1, 400, 7)), None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.stored for r in QUERIES["stored_size"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else len(compress(envelope(1, t.encode()))) for k, t in enumerate(texts)}
+    long = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 100000) text")
+    assert max(r.n for r in long.mapInPandas(_lengths, "n long").collect()) < 100
