@@ -1,11 +1,14 @@
 import json
+import random
 import time
 
+import pandas as pd
 import pytest
 
 from lamina import cli
 from lamina.errors import HistoryError
 from lamina.repo import Meta, Repo
+from lamina.streaming import changes as streaming
 from lamina.streaming.changes import EVENT, carried_runs, changes, commit_runs, drain, grouped_runs, save_state, state, stop, watch
 
 
@@ -41,6 +44,19 @@ def test_runs_are_carried_between_micro_batches(spark, tmp_path):
     assert got == {1: 1, 2: 1, 4: 1, 5: 2, 8: 3, 3: 1, 6: 2, 7: 2}
 
 
+def test_rows_are_ordered_on_disk_a_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(streaming, "SORT_ROWS", 1000)
+    rnd = random.Random(1)
+    ids = rnd.sample(range(100_000), 7300)
+    rows = pd.DataFrame({"event_id": ids, "key": [None if k % 3 else f"k{k}" for k in ids]})
+    for n in (7300, 999, 1):
+        parts = list(streaming.in_order((rows[k : min(k + 70, n)] for k in range(0, n, 70)), "event_id"))
+        got = pd.concat(parts)
+        assert got["event_id"].tolist() == sorted(ids[:n]) and got["key"].where(got["key"].notna(), None).tolist() == [None if k % 3 else f"k{k}" for k in sorted(ids[:n])]
+        assert max(map(len, parts)) < 1000
+    assert list(streaming.in_order(iter([]), "event_id")) == []
+
+
 def test_runs_are_committed_once(spark, tmp_path):
     at = str(tmp_path / "store")
     Repo.init(spark, at)
