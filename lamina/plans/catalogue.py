@@ -13,7 +13,7 @@ from ..functions.canonical import canonical, long_id, row_document
 from ..functions.codec import commit_payload, digest, envelope
 from ..functions.hashing import blake3_hex, blob_hash, envelope_hex, leb_hex, object_hash, zstd_size
 from ..operators import history
-from ..operators.trees import build, directory_hashes, versions_above
+from ..operators.trees import build, long_directory_hashes, versions_above
 from ..repo import Repo, fsck, reachable, walk
 from ..shared import checkpointed, scratch_path, shared_dir, small_arrow_batches
 from ..sources.frames import encode_frames, read_frames
@@ -164,8 +164,7 @@ def token_base64(spark, sf_dir):
 def collection_tree_hash(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_orderstatus").alias("coll"), F.col("o_orderkey").cast("string").alias("name"), F.lit("01").alias("kind"), blob_hash(F.col("o_custkey").cast("string")).alias("hash"))
-    n = rows.groupBy("coll").agg(F.count("*").alias("n"))
-    return directory_hashes(rows, ["coll"]).join(n, "coll").select("coll", "n", "hash")
+    return long_directory_hashes(rows, ["coll"])
 
 
 @query(f"WITH {sql.DOCUMENTS} SELECT '' AS path, hash FROM t0 UNION ALL SELECT source, hash FROM t1 UNION ALL SELECT source || '/' || lang, hash FROM t2")

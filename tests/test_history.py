@@ -188,3 +188,17 @@ def test_versions_above_against_every_commit(spark):
             want[d, seq] = digest(envelope(2, tree_payload(live)), "sha2-256").hex() if live else None
     got = versions_above(spark.createDataFrame(rows, "path array<string>, seq long, hash string"))
     assert {(x.path[0], x.seq): x.hash for x in got.collect()} == want and None in want.values()
+
+
+def test_long_directories_are_hashed_in_rounds(spark, monkeypatch):
+    from lamina.operators import trees
+
+    monkeypatch.setattr(trees, "PIECE_BYTES", 100)
+    monkeypatch.setattr(trees, "ROUND_BYTES", 1000)
+    rows = [(d, f"é{k * 7919 % 1000}", digest(str(k).encode()).hex()) for d, n in (("a", 100), (None, 9), ("b", 1)) for k in range(n)]
+    entries = spark.createDataFrame(rows, "coll string, name string, hash string").withColumn("kind", trees.F.lit("01"))
+    got = {r.coll: (r.n, r.hash) for r in trees.long_directory_hashes(entries, ["coll"]).collect()}
+    for d, n in (("a", 100), (None, 9), ("b", 1)):
+        payload = tree_payload([(1, bytes.fromhex(h), name) for own, name, h in rows if own == d])
+        assert got.pop(d) == (n, digest(envelope(2, payload)).hex())
+    assert not got
